@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates
+from . import aggregates, joins, statistics, windows
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregates"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "joins", "statistics", "windows"]
