@@ -24,12 +24,14 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -39,47 +41,89 @@ from . import files
 from .common import picked, shared_dir, stored
 
 MAGIC = b"REGIDS01"
-SHARD_IDS, CACHED = 8 << 20, 600_000
+SHARD_IDS, CACHED, BATCH_BYTES = 8 << 20, 800_000, 16 << 20
 NULL_KEY = np.uint64(0x9E3779B97F4A7C15)
 
 
 # ---- encoding ------------------------------------------------------------------------------------------------------
+#: Written before each run of blanks to cut there; texts that hold it already aren't cut.
+CUT = "\x01"
+BLANKS = r"([\s\x0b\x{85}\pZ]+)"
+ALONE = re.compile(r" ?\S+")
+
+
 class Encoder:
-    """ids of texts as bytes. A text is cut before single blanks between non-blanks, where no pre-token can reach
-    across; pieces met before come from a bounded cache, the others from the tokenizers library."""
+    """ids of texts as bytes. A text is cut before its runs of blanks, where no pre-token of a byte-level vocabulary
+    reaches across. Each different piece of a batch is looked up in a bounded cache or encoded by the tokenizers
+    library, many to a call, parted by line feeds; the ids of the texts are then gathered by numpy."""
 
     def __init__(self, path: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.inner = tokenizers.Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True
-        self.dtype = dtype
+        self.dtype = np.dtype(dtype)
         self.cache: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        parts = text.split(" ")
-        out = [parts[0]]
-        for before, part in zip(parts, parts[1:]):
-            if part and before and not part[0].isspace() and not before[-1].isspace():
-                out.append(" " + part)
-            else:
-                out[-1] += " " + part
-        return out
-
-    def learn(self, pieces: set[str]) -> None:
-        new = [x for x in pieces if x not in self.cache]
-        if len(self.cache) + len(new) > CACHED:
-            self.cache = {}
-            new = list(pieces)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
+        self.older: dict[str, bytes] = {}
+        mark = [self.inner.encode(x, add_special_tokens=False).ids for x in ("\n", "a\n a", "a\na", " a", "a")]
+        self.mark = mark[0][0]
+        self.cuts = mark[1] == [*mark[4], self.mark, *mark[3]] and mark[2] == [*mark[4], self.mark, *mark[4]]
+
+    def pieces(self, texts: pa.Array) -> pa.ListArray:
+        if not self.cuts:
+            return pc.split_pattern(texts, CUT)
+        whole = pc.match_substring(texts, CUT)
+        return pc.split_pattern(pc.if_else(whole, texts, pc.replace_substring_regex(texts, BLANKS, CUT + r"\1")), CUT)
+
+    def learn(self, new: list[str]) -> None:
+        alone = [self.cuts and ALONE.fullmatch(x) is not None for x in new]
+        plain = [x for x, ok in zip(new, alone) if ok]
+        rest = [x for x, ok in zip(new, alone) if not ok]
+        size = self.dtype.itemsize
+        for i in range(0, len(plain), 8192):
+            parts = [plain[j : j + 256] for j in range(i, min(i + 8192, len(plain)), 256)]
+            for part, e in zip(parts, self.inner.encode_batch_fast(["\n".join(x) for x in parts], add_special_tokens=False)):
+                ids = np.array(e.ids, self.dtype)
+                ends = np.flatnonzero(ids == self.mark)
+                if len(ends) != len(part) - 1:
+                    raise ValueError("a line feed isn't an id of its own")
+                raw, at = ids.tobytes(), (ends * size).tolist()
+                self.cache.update(zip(part, [raw[a:b] for a, b in zip([0, *(x + size for x in at)], [*at, len(raw)])]))
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
             for x, e in zip(part, self.inner.encode_batch_fast(part, add_special_tokens=False)):
                 self.cache[x] = np.array(e.ids, self.dtype).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(x) for x in texts]
-        self.learn(set().union(*cut))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, x)) for x in cut]
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """texts: an array of strings without nulls."""
+        if not len(texts):
+            return []
+        cut = self.pieces(texts)
+        if pc.any(held := pc.match_substring(texts, CUT)).as_py():  # such texts are pieces as a whole
+            at = held.to_pylist()
+            cut = pa.array([[t.as_py()] if ok else x for x, t, ok in zip(cut.to_pylist(), texts, at)], pa.list_(pa.string()))
+        coded = cut.flatten().dictionary_encode()
+        need = coded.dictionary.to_pylist()
+        if len(self.cache) + len(need) > CACHED:
+            self.older, self.cache = self.cache, {}
+        cache, older = self.cache, self.older
+        new = [x for x in need if x not in cache]
+        if older:
+            cache.update((x, older[x]) for x in new if x in older)
+            new = [x for x in new if x not in cache]
+        self.learn(new)
+        known = list(map(cache.__getitem__, need))
+        size = self.dtype.itemsize
+        flat = np.frombuffer(b"".join(known), self.dtype)
+        lengths = np.fromiter(map(len, known), np.int32, len(known)) // size
+        starts = np.cumsum(lengths, dtype=np.int32) - lengths
+        words = coded.indices.to_numpy()
+        counts = lengths[words]
+        ends = np.cumsum(counts, dtype=np.int64)
+        at = np.repeat((starts[words] - (ends - counts)).astype(np.int32), counts)  # a batch has fewer than 2**31 ids: bytes bound them
+        at += np.arange(ends[-1], dtype=np.int32)
+        out = flat[at].tobytes()
+        edges = np.concatenate([[0], ends])[cut.offsets.to_numpy() - cut.offsets[0].as_py()] * size
+        return [out[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -242,9 +286,10 @@ def write_token_ids(docs: DataFrame, folder: str, path: str, id_col: str = "doc_
         for batch in batches:
             if batch.num_rows:
                 part = batch.column(2)[0].as_py()
-            for i in range(0, batch.num_rows, 512):
-                keys, texts = batch.column(0).slice(i, 512).to_pylist(), batch.column(1).slice(i, 512).to_pylist()
-                for key, ids in zip(keys, tool.encode(texts)):
+            block = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)) // BATCH_BYTES
+            starts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
+            for i, j in zip(starts, starts[1:]):
+                for key, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), tool.encode(batch.column(1).slice(i, j - i))):
                     shard.add(key, ids + end)
                     if shard.n_ids >= shard_ids:
                         done()
