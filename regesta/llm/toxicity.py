@@ -53,20 +53,23 @@ def groups(word: bytes) -> set[bytes]:
 
 
 def telling_groups(toxic: list[list[bytes]], ordinary: list[list[bytes]], ratio: float = 3.0, z_least: float = 14.0) -> set[bytes]:
-    """Letter groups far more frequent in toxic documents, by log ratio of document shares and by z."""
-
-    def shares(docs: list[list[bytes]]) -> Counter:
-        seen: Counter = Counter()
-        for words in docs:
-            seen.update(set().union(*(cached(w) for w in set(words))) if words else ())
-        return seen
-
-    cached = lru_cache(200_000)(groups)
-    a, b = shares(toxic), shares(ordinary)
+    """Letter groups far more frequent in toxic documents, by log ratio of document shares and by z. A table of hashed
+    counts of fixed size leaves out, beforehand, groups too rare to tell, so only candidates are counted by name."""
     n, m, out = len(toxic), len(ordinary), set()
+    least = max(4, 0.005 * n)
+    rough = np.zeros(1 << 22, np.int32)
+    for words in toxic:
+        rough[np.fromiter({hash(g) & 0x3FFFFF for w in set(words) for g in groups(w)}, np.int64)] += 1
+    often = set(np.flatnonzero(rough >= least).tolist())
+    a: Counter = Counter()
+    for words in toxic:
+        a.update({g for w in set(words) for g in groups(w) if hash(g) & 0x3FFFFF in often})
+    a = Counter({g: k for g, k in a.items() if k >= least})
+    cached = lru_cache(20_000)(lambda w: [g for g in groups(w) if g in a])
+    b: Counter = Counter()
+    for words in ordinary:
+        b.update({g for w in set(words) for g in cached(w)})
     for g, k in a.items():
-        if k < max(4, 0.005 * n):
-            continue
         p = (b[g] + 1) / (m + 2)
         z = (k - n * p) / math.sqrt(n * p * (1 - p))
         if z > z_least * min(1.0, math.sqrt(n / 800)) and math.log((k + 0.5) / (n + 1)) - math.log((b[g] + 0.5) / (m + 1)) > ratio:
