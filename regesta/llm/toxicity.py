@@ -152,6 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = picked(docs, doc_id=id_col, text=text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))  # at most 4 * sample small rows
     rows = texts.select("id", (F.col("toxic") > 0).alias("toxic"), F.substring("text", 1, SAMPLE_BYTES).alias("text")).dropDuplicates(["id"]).collect()
     rows.sort(key=lambda r: r.id)
+    if len({r.toxic for r in rows}) < 2:  # the labelled documents of a kind don't exist
+        return None
     halves: dict[tuple[bool, int], list] = {}
     for i, kind in ((i, kind) for kind in (True, False) for i in (0, 1)):
         halves[kind, i] = [r.text for r in [r for r in rows if r.toxic == kind][i::2]]
