@@ -1,11 +1,12 @@
 """Operator 7: toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on toxic text. Both begin with the same ordinary
-passages, chosen by the library's trainer; to that each adds words of toxic documents: the toxic dictionary those that hold
-letter groups hardly met in ordinary documents, the ordinary one as many bytes of the others. A window of text then
-compresses better with the dictionary it resembles. Every window of WIDE words of a text is compressed with both; the
-windows where the toxic dictionary saves GAIN bytes or more are compressed again in parts of NARROW words. A logistic
-function, calibrated on labelled documents that neither dictionary has seen, turns the savings into a score.
+Two zstandard dictionaries are trained separately by the library's trainer, one on windows of toxic text, one on windows
+of ordinary text, of equal size. A window of text compresses better with the dictionary it resembles. A second pair tells
+words: both begin with the same ordinary passages; to that the toxic one adds all words of toxic documents that hold
+letter groups hardly met in ordinary documents, the ordinary one as many bytes of the others. Every window of WIDE words
+of a text is compressed with all four; the windows where the second pair's toxic dictionary saves GAIN bytes or more are
+compressed again in parts of NARROW words. A logistic function, calibrated on labelled documents that no dictionary has
+seen, turns the savings of both pairs into a score.
 
 Training reads labelled rows whose crc32(doc_id as text) mod 4 is not 2. It takes at most SAMPLE documents of either
 label, in the order of their hash, and at most SAMPLE_BYTES of each text; these bounds are parameters. Scoring reads
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import picked
 
 SAMPLE, SAMPLE_BYTES = 1_500, 20_000
-LEVEL, BASE_BYTES, EXTRA_BYTES = 6, 400_000, 6_000
+LEVEL, BASE_BYTES, TRAINED_BYTES = 6, 400_000, 50_000
 WIDE, NARROW, GAIN, THRESHOLD = 10, 5, 2, 0.3
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 GROUPS = (5, 6, 7, 8)
@@ -77,39 +78,51 @@ def telling_groups(toxic: list[list[bytes]], ordinary: list[list[bytes]], ratio:
     return out
 
 
-def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
-    """(toxic, ordinary) as raw dictionary content."""
-    samples = [x for words in ordinary for x in windows(words, 160)]
+def trained(samples: list[bytes], size: int) -> bytes:
+    """Raw dictionary content by the library's trainer."""
     try:
-        base = zs.train_dictionary(BASE_BYTES + 8192, samples).as_bytes()[-BASE_BYTES:]
+        return zs.train_dictionary(size + 8192, samples).as_bytes()[-size:]
     except zs.ZstdError:  # too few samples to train on: they are the dictionary
-        base = b"".join(samples)[-BASE_BYTES:]
+        return b"".join(samples)[-size:]
+
+
+def separate(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
+    """(toxic, ordinary), each trained on its own documents alone, of equal size."""
+    samples = [[x for words in kind for x in windows(words, WIDE)] for kind in (toxic, ordinary)]
+    size = max(1, min(TRAINED_BYTES, *(sum(map(len, x)) // 2 for x in samples)))
+    return trained(samples[0], size), trained(samples[1], size)
+
+
+def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
+    """(toxic, ordinary) as raw dictionary content: ordinary passages in both, then words."""
+    base = trained([x for words in ordinary for x in windows(words, 160)], BASE_BYTES)
     telling = telling_groups(toxic, ordinary)
     bad, other = Counter(), Counter()
     for words in toxic:
         for w in set(words):
             (other if telling.isdisjoint(groups(w)) else bad)[w] += 1
-    extra = b" " + b" ".join(w for w, _ in sorted(bad.items(), key=lambda x: (x[1], x[0])))[-EXTRA_BYTES:] + b" "
+    extra = b" " + b" ".join(w for w, _ in sorted(bad.items(), key=lambda x: (x[1], x[0]))) + b" "
     rest = sorted(other.elements())
     np.random.Generator(np.random.PCG64(7)).shuffle(rest)
     return base + extra, base + (b" " + b" ".join(rest[: len(extra)]))[: len(extra) - 1] + b" "
 
 
 class Lengths:
-    def __init__(self, toxic: bytes, ordinary: bytes):
-        make = lambda raw: zs.ZstdCompressor(level=LEVEL, dict_data=zs.ZstdCompressionDict(raw, dict_type=zs.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
-        self.toxic, self.ordinary = make(toxic).compress, make(ordinary).compress
+    """Savings of a pair of word dictionaries and of a pair trained separately."""
+
+    def __init__(self, toxic: bytes, ordinary: bytes, toxic_alone: bytes, ordinary_alone: bytes):
+        make = lambda raw: zs.ZstdCompressor(level=LEVEL, dict_data=zs.ZstdCompressionDict(raw, dict_type=zs.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress
+        self.words, self.alone = (make(toxic), make(ordinary)), (make(toxic_alone), make(ordinary_alone))
 
-    def saved(self, parts: list[bytes]) -> np.ndarray:
-        return np.array([len(self.ordinary(x)) - len(self.toxic(x)) for x in parts], float)
+    def saved(self, parts: list[bytes], pair: tuple) -> np.ndarray:
+        toxic, ordinary = pair
+        return np.array([len(ordinary(x)) - len(toxic(x)) for x in parts], float) if parts else np.zeros(1)
 
     def features(self, text: str | None) -> list[float]:
-        words = words_of(text)
-        wide = windows(words, WIDE)
-        d = self.saved(wide) if wide else np.zeros(1)
+        wide = windows(words_of(text), WIDE)
+        d = self.saved(wide, self.words)
         near = [p for x, s in zip(wide, d) if s >= GAIN for p in windows(x.split(), NARROW)]
-        e = self.saved(near) if near else np.zeros(1)
-        return [*shape(d, len(d)), *shape(e, len(d))]
+        return [*shape(d, len(d)), *shape(self.saved(near, self.words), len(d)), *shape(self.saved(wide, self.alone), len(d))]
 
 
 def shape(d: np.ndarray, n: int) -> list[float]:
@@ -120,8 +133,8 @@ def shape(d: np.ndarray, n: int) -> list[float]:
 class Model:
     """Dictionaries and calibration; small enough to travel with the task."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes):
-        self.parts, self.weights, self.mean, self.scale = (toxic, ordinary), None, None, None
+    def __init__(self, *parts: bytes):
+        self.parts, self.weights, self.mean, self.scale = parts, None, None, None
 
     def inputs(self, features: np.ndarray) -> np.ndarray:
         z = np.clip((features - self.mean) / self.scale, -8, 8)
@@ -159,7 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         halves[kind, i] = [r.text for r in [r for r in rows if r.toxic == kind][i::2]]
     if not all(halves.values()):
         halves = {(kind, i): [r.text for r in rows if r.toxic == kind] for kind, i in halves}
-    model = Model(*dictionaries([words_of(x) for x in halves[True, 0]], [words_of(x) for x in halves[False, 0]]))
+    seen = [words_of(x) for x in halves[True, 0]], [words_of(x) for x in halves[False, 0]]
+    model = Model(*dictionaries(*seen), *separate(*seen))
     lengths = Lengths(*model.parts)
     features = np.array([lengths.features(x) for kind in (True, False) for x in halves[kind, 1]])
     y = np.array([1.0] * len(halves[True, 1]) + [0.0] * len(halves[False, 1]))

@@ -159,6 +159,26 @@ def test_toxicity_edges(spark, odd, empty):
     assert toxicity.train(odd, labels.where("toxic = 1")) is None and toxicity.train(empty, labels) is None
 
 
+def test_toxic_by_phrase_alone(spark):
+    """Toxic documents hold fixed phrases of words that ordinary documents have as often."""
+    random.seed(5)
+    words = ["".join(random.choice("abcdefghijklmnop") for _ in range(random.randint(3, 8))) for _ in range(300)]
+    phrases = [[random.choice(words) for _ in range(6)] for _ in range(12)]
+    rows, labels = [], []
+    for i in range(600):
+        parts = [list(random.choice(phrases)) if random.random() < 0.5 else random.choices(words, k=6) for _ in range(15)]
+        flat = sum(parts, [])
+        if i % 3:
+            random.shuffle(flat)
+        rows.append((i, " ".join(flat)))
+        labels.append((i, int(i % 3 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs.where("doc_id < 450"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    new = [(r.doc_id % 3 == 0, r.score) for r in toxicity.scored(docs.where("doc_id >= 450"), model).collect()]
+    right = sum(a > b for x, a in new if x for y, b in new if not y)
+    assert right > 0.95 * sum(x for x, _ in new) * sum(not x for x, _ in new)
+
+
 # ---- SentencePiece
 def test_without_dropout_equals_the_library(spark, sf):
     tool = sentencepiece_codec.Codec(PIECES, 0.0)
