@@ -8,9 +8,10 @@ of a text is compressed with all four; the windows where the second pair's toxic
 compressed again in parts of NARROW words. A logistic function, calibrated on labelled documents that no dictionary has
 seen, turns the savings of both pairs into a score.
 
-Training reads labelled rows whose crc32(doc_id as text) mod 4 is not 2. It takes at most SAMPLE documents of either
-label, in the order of their hash, and at most SAMPLE_BYTES of each text; these bounds are parameters. Scoring reads
-every text whole. Only the text enters a score.
+Training reads labelled rows whose crc32(doc_id as text) mod 4 is not 2. It takes at most 2 * SAMPLE documents of either
+label, in the order of their hash, and reads their texts whole: those for the dictionaries come to the driver, those for
+the calibration stay on the executors, which send their features. Scoring reads every text whole. Only the text enters
+a score.
 
 Nulls: a null or empty text has no window and gets the score of a document without savings. Labels that are null are
 left out, as are those of documents that don't exist; a document labelled twice is toxic if one label says so. Without
@@ -30,10 +31,11 @@ import pyarrow as pa
 import zstandard as zs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import picked
+from .common import picked, stored
 
-SAMPLE, SAMPLE_BYTES = 1_500, 20_000
+SAMPLE = 1_500
 LEVEL, BASE_BYTES, TRAINED_BYTES = 6, 400_000, 50_000
 WIDE, NARROW, GAIN, THRESHOLD = 10, 5, 2, 0.3
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -163,25 +165,39 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     order = [F.xxhash64("id"), F.col("id")]
     chosen = marks.where("toxic > 0").orderBy(*order).limit(2 * sample).unionByName(marks.where("toxic <= 0").orderBy(*order).limit(2 * sample))
     texts = picked(docs, doc_id=id_col, text=text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))  # at most 4 * sample small rows
-    rows = texts.select("id", (F.col("toxic") > 0).alias("toxic"), F.substring("text", 1, SAMPLE_BYTES).alias("text")).dropDuplicates(["id"]).collect()
-    rows.sort(key=lambda r: r.id)
-    if len({r.toxic for r in rows}) < 2:  # the labelled documents of a kind don't exist
+    rows = stored(texts.select("id", (F.col("toxic") > 0).alias("toxic"), "text").dropDuplicates(["id"]), "toxicity-labelled")
+    marks = sorted(rows.select("id", "toxic").collect())
+    if len({r.toxic for r in marks}) < 2:  # the labelled documents of a kind don't exist
         return None
-    halves: dict[tuple[bool, int], list] = {}
-    for i, kind in ((i, kind) for kind in (True, False) for i in (0, 1)):
-        halves[kind, i] = [r.text for r in [r for r in rows if r.toxic == kind][i::2]]
+    halves = {(kind, i): [r.id for r in marks if r.toxic == kind][i::2] for kind in (True, False) for i in (0, 1)}
     if not all(halves.values()):
-        halves = {(kind, i): [r.text for r in rows if r.toxic == kind] for kind, i in halves}
-    seen = [words_of(x) for x in halves[True, 0]], [words_of(x) for x in halves[False, 0]]
-    model = Model(*dictionaries(*seen), *separate(*seen))
-    lengths = Lengths(*model.parts)
-    features = np.array([lengths.features(x) for kind in (True, False) for x in halves[kind, 1]])
-    y = np.array([1.0] * len(halves[True, 1]) + [0.0] * len(halves[False, 1]))
+        halves = {(kind, i): [r.id for r in marks if r.toxic == kind] for kind, i in halves}
+    part = lambda i: rows.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for kind in (True, False) for x in halves[kind, i]], rows.select("id").schema)), "id")
+    seen: dict[bool, list[list[bytes]]] = {True: [], False: []}
+    for r in sorted(part(0).collect(), key=lambda r: r.id):
+        seen[r.toxic].append(words_of(r.text))
+    model = Model(*dictionaries(seen[True], seen[False]), *separate(seen[True], seen[False]))
+    measured = sorted(measure(part(1), model.parts).collect(), key=lambda r: (not r.toxic, r.id))
+    features = np.array([r.features for r in measured])
+    y = np.array([float(r.toxic) for r in measured])
     share = counts[True] / (counts[True] + counts[False])
     model.calibrate(features, y, np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())))
     return model
 
 
+def measure(rows: DataFrame, parts: tuple[bytes, ...]) -> DataFrame:
+    """id, toxic, features of labelled texts (id, toxic, text), worked out on the executors."""
+    types = T.StructType([rows.schema["id"], rows.schema["toxic"], T.StructField("features", T.ArrayType(T.DoubleType()))])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lengths = Lengths(*parts)
+        for batch in batches:
+            got = [lengths.features(x) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.list_(pa.float64()))], names=["id", "toxic", "features"])
+
+    return rows.select("id", "toxic", "text").repartition(rows.sparkSession.sparkContext.defaultParallelism).mapInArrow(work, types)
+
+
 def scored(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score for each row of docs."""
     base = picked(docs, doc_id=id_col, text=text_col)

@@ -179,6 +179,19 @@ def test_toxic_by_phrase_alone(spark):
     assert right > 0.95 * sum(x for x, _ in new) * sum(not x for x, _ in new)
 
 
+def test_training_reads_whole_texts(spark):
+    """Toxic words stand after 30,000 characters of ordinary ones."""
+    random.seed(7)
+    words = ["".join(random.choice("abcdefghij") for _ in range(random.randint(3, 8))) for _ in range(400)]
+    rows = [(i, " ".join(random.choices(words, k=5_000) + ["zyxwvu", "qqvvzz"] * 5 * (i % 2) + random.choices(words, k=50))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    assert all(len(t) > 30_000 for _, t in rows)
+    model = toxicity.train(docs, labels)
+    got = toxicity.scored(spark.createDataFrame([(1, rows[0][1]), (2, rows[0][1] + " zyxwvu qqvvzz" * 5)], "doc_id long, text string"), model).collect()
+    assert {r.doc_id: r.score >= 0.5 for r in got} == {1: False, 2: True}
+
+
 # ---- SentencePiece
 def test_without_dropout_equals_the_library(spark, sf):
     tool = sentencepiece_codec.Codec(PIECES, 0.0)
