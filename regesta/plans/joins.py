@@ -91,7 +91,16 @@ def set_equality_join(table):
 )
 def transitive_link_best(table):
     """Links over a shared id, the least ambiguous a pair."""
-    li = table("lineitem").where("l_quantity < 6")
+    return best_links(table("lineitem").where("l_quantity < 6"))
+
+
+@query("transitive_link_best_whole")
+def transitive_link_best_whole(table):
+    """The same over all rows."""
+    return best_links(table("lineitem"))
+
+
+def best_links(li):
     a = li.where("l_returnflag = 'A'").select(c("l_orderkey").alias("x"), c("l_partkey").alias("via"), c("l_quantity").alias("amb")).distinct()
     b = li.where("l_returnflag = 'R'").select(c("l_suppkey").alias("z"), c("l_partkey").alias("via")).distinct()
     return a.join(b, "via").groupBy("x", "z").agg(F.min(F.struct("amb", "via")).alias("m")).select("x", "z", "m.via", "m.amb")

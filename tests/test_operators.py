@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from regesta.functions import life, money, names
 from regesta.operators import graph, runs, search
+from regesta.plans import catalogue
 from regesta.streaming.runs import windowed_counts
 
 
@@ -48,6 +49,16 @@ def test_components_and_guard(spark):
     assert got and all(root[r.node] == r.cluster for r in got)
 
 
+def test_graph_queries_take_all_rows(spark, tmp_path):
+    rows = [(1, 10, 5, 1.0, 30.0, "A"), (2, 10, 5, 2.0, 40.0, "R"), (2, 11, 6, 3.0, 50.0, "A"), (3, 12, 7, 4.0, 20.0, "R"), (4, 12, 5, 5.0, 45.0, "R")]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_partkey long, l_extendedprice double, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("SELECT id AS o_orderkey, DATE '1995-01-01' AS o_orderdate FROM range(1, 5)").write.parquet(f"{tmp_path}/orders.parquet")
+    run = lambda name: {tuple(r) for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert run("guarded_cluster") == {(1, 1), (2, 1), (3, 3), (4, 3)}
+    assert run("component_labels_whole") == {(2, 2), (4, 2), (21, 2), (23, 2), (6, 6), (8, 6), (25, 6)}
+    assert {r[:3] for r in run("transitive_link_best_whole")} == {(1, 10, 5), (1, 12, 5)}
+
+
 def test_life_anchor_cases(spark):
     cases = [(1619, False, False, "before_birth"), (1630, False, True, "child"), (1686, False, True, "after_death"), (1700, False, False, "late_naming"), (1680, True, False, "dead_early"), (1750, True, False, "beyond"), (1684, False, True, None)]
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, y int, late boolean, strong boolean, want string")
