@@ -1,11 +1,11 @@
 """Operator 9: SentencePiece encoding with seeded merge-dropout, and decoding.
 
 Merge-type segmentation takes the adjacent pair of best score from an agenda, joins it, and goes on. With dropout,
-each candidate that enters the agenda is skipped if a keyed hash of (seed, variant, word, place, pair) falls below
-alpha; without (alpha 0) the ids are those of the library. A word occurrence gets one of VARIANTS variants by a hash of
-(seed, doc_id, place of the word), so reruns agree while the same word is cut differently in different places. Blanks
-only begin pieces in this vocabulary (checked), so text falls apart into words, whose segmentations are kept in a bounded
-cache; new ones are computed together, one agenda step for all words of a length class at a time, by numpy. Words of
+each candidate that enters the agenda is skipped if a keyed hash of (seed, draw, word, place, pair) falls below
+alpha; without (alpha 0) the ids are those of the library. A word occurrence has its own draw, a 64-bit hash of (seed,
+doc_id, place of the word), so reruns agree while each occurrence is cut for itself. Blanks only begin pieces in this
+vocabulary (checked), so text falls apart into words; they are cut together, one agenda step for all words of a length
+class at a time, by numpy. Only segmentations without dropout are kept, in a bounded cache. Words of
 more than WIDTH characters go through an ordinary agenda (a heap).
 
 Characters outside the vocabulary, and the blank sign itself, become byte pieces, so decoding gives every text back.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import picked
 
-ALPHA, SEED, VARIANTS, WIDTH, CACHED = 0.1, 9, 4, 48, 900_000
+ALPHA, SEED, WIDTH, CACHED = 0.1, 9, 48, 900_000
 SPACE = "▁"
 SPLIT = re.compile(" *[^ ]+| +")
 NONE = np.int64(-1)
@@ -45,9 +45,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Codec:
-    def __init__(self, path: str, alpha: float = ALPHA, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, path: str, alpha: float = ALPHA, seed: int = SEED):
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.alpha, self.seed, self.variants = alpha, seed, variants if alpha > 0 else 1
+        self.alpha, self.seed = alpha, seed
         n = sp.get_piece_size()
         ids = {sp.id_to_piece(i): i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
         if any(SPACE in p.lstrip(SPACE) for p in ids):
@@ -75,8 +75,7 @@ class Codec:
         for c, i in self.chars.items():
             self.char_table[ord(c)] = i
         self.limit = np.uint64(min(2**64 - 1, int(alpha * 2**64)))
-        self.caches: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.held = 0
+        self.cache: dict[str, bytes] = {}
 
     # -- agenda steps ----------------------------------------------------------------------------------------------
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -96,7 +95,7 @@ class Codec:
         return got
 
     def word_keys(self, words: list[tuple[str, int]]) -> np.ndarray:
-        return np.array([xxhash.xxh3_64_intdigest(w.encode(), self.seed * 1009 + v) for w, v in words], np.uint64)
+        return np.array([xxhash.xxh3_64_intdigest(w.encode(), (self.seed * 1009 + v) % 2**64) for w, v in words], np.uint64)
 
     def together(self, words: list[tuple[str, int]]) -> list[bytes]:
         """Ids of words of at most WIDTH characters: a step of every word's agenda at a time."""
@@ -190,26 +189,27 @@ class Codec:
 
     # -- texts -----------------------------------------------------------------------------------------------------
     def learn(self, words: set[tuple[str, int]]) -> None:
-        new = [x for x in words if x[0] not in self.caches[x[1]]]
-        if self.held + len(new) > CACHED:
-            self.caches, self.held = [{} for _ in range(self.variants)], 0
-            new = list(words)
-        self.held += len(new)
+        new = [x for x in words if x[0] not in self.cache]
+        if len(self.cache) + len(new) > CACHED:
+            self.cache, new = {}, list(words)
+        got: dict[tuple[str, int], bytes] = {}
+        self.segment(new, got)
+        self.cache |= {w: ids for (w, _), ids in got.items()}
+
+    def segment(self, new: list[tuple[str, int]], got: dict[tuple[str, int], bytes]) -> None:
         new.sort(key=lambda x: len(x[0]))
         at = 0
         while at < len(new):
             width = len(new[at][0])
             if width > WIDTH:
-                w, v = new[at]
-                self.caches[v][w] = self.as_ids(self.alone(w, v))
+                got[new[at]] = self.as_ids(self.alone(*new[at]))
                 at += 1
                 continue
             stop = at
             while stop < len(new) and stop - at < 4096 and len(new[stop][0]) <= min(WIDTH, width + 2 + width // 4):
                 stop += 1
             part = new[at:stop]
-            for (w, v), ids in zip(part, self.together(part)):
-                self.caches[v][w] = ids
+            got.update(zip(part, self.together(part)))
             at = stop
 
     def words(self, text: str) -> list[str]:
@@ -220,21 +220,27 @@ class Codec:
             return [SPACE + w for w in text.split(" ")]
         return [w.replace(" ", SPACE) for w in SPLIT.findall(" " + text)]
 
+    def places(self, doc: int | None, n: int, at: int = 0) -> list[int]:
+        """A 64-bit draw for each of n word places of a document, from place at on."""
+        if self.alpha <= 0:
+            return [0] * n
+        start = np.uint64(((doc or 0) * 0x9E3779B97F4A7C15 + self.seed * 0xD1B54A32D192ED03) % 2**64)
+        return mixed(start + np.arange(at, at + n, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)).tolist()
+
+    def cut_all(self, texts: list[tuple[list[str], list[int]]]) -> list[list[bytes]]:
+        """Ids of each word of each text; only what has no dropout is kept between calls."""
+        need = list({x for words, kind in texts for x in zip(words, kind)})
+        if self.alpha <= 0:
+            self.learn(set(need))
+            return [[self.cache[w] for w in words] for words, _ in texts]
+        got: dict[tuple[str, int], bytes] = {}
+        self.segment(need, got)
+        return [[got[x] for x in zip(words, kind)] for words, kind in texts]
+
     def encode(self, docs: list[tuple[int | None, str]]) -> list[np.ndarray]:
         cut = [[] if SPACE in t else self.words(t) for _, t in docs]
-        kinds = []
-        for (doc, _), words in zip(docs, cut):
-            if self.variants == 1:
-                kinds.append([0] * len(words))
-                continue
-            start = np.uint64(((doc or 0) * 0x9E3779B97F4A7C15 + self.seed * 0xD1B54A32D192ED03) % 2**64)
-            kinds.append((mixed(start + np.arange(len(words), dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) % np.uint64(self.variants)).tolist())
-        need: set[tuple[str, int]] = set()
-        for words, kind in zip(cut, kinds):
-            need.update(zip(words, kind))
-        self.learn(need)
-        caches = self.caches
-        out = [np.frombuffer(b"".join([caches[v][w] for w, v in zip(words, kind)]), "<u2") for words, kind in zip(cut, kinds)]
+        kinds = [self.places(doc, len(words)) for (doc, _), words in zip(docs, cut)]
+        out = [np.frombuffer(b"".join(got), "<u2") for got in self.cut_all(list(zip(cut, kinds)))]
         for i, (doc, text) in enumerate(docs):
             if SPACE in text:
                 out[i] = self.around_sign(doc, text)
@@ -243,16 +249,16 @@ class Codec:
     def around_sign(self, doc: int | None, text: str) -> np.ndarray:
         """A text with the blank sign in it: the parts between are encoded, the signs become bytes."""
         sign = np.array([self.byte[b] for b in SPACE.encode()], "<u2")
-        out = []
+        out, at = [], 0
         for k, part in enumerate(text.split(SPACE)):
             if k:
                 out.append(sign)
             words = self.words(part) if k == 0 else [w.replace(" ", SPACE) for w in SPLIT.findall(part)]
             if k == 0 and not words:
                 words = [SPACE]
-            kind = [(k + i) % self.variants for i in range(len(words))]
-            self.learn(set(zip(words, kind)))
-            out += [np.frombuffer(self.caches[v][w], "<u2") for w, v in zip(words, kind)]
+            kind = self.places(doc, len(words), at)
+            at += len(words)
+            out += [np.frombuffer(x, "<u2") for x in self.cut_all([(words, kind)])[0]]
         return np.concatenate(out)
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:

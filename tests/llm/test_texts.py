@@ -216,3 +216,11 @@ def test_dropout_varies_and_is_lossless(spark, sf, odd, empty):
     assert sentencepiece_codec.encoded(empty, PIECES).count() == 0
     one, two = (sentencepiece_codec.encoded(spark.read.parquet(f"{sf}/documents.parquet").repartition(n), PIECES).orderBy("doc_id").collect() for n in (1, 5))
     assert one == two
+
+
+def test_each_occurrence_is_cut_for_itself():
+    tool = sentencepiece_codec.Codec(PIECES, 0.1)
+    for text in ("international " * 3000, "▁" + "international " * 3000):
+        ids = tool.encode([(1, text)])[0].tolist()
+        cuts = re.split("▁+", "|".join(tool.sp.id_to_piece(ids)))
+        assert len(set(cuts)) > 8 and tool.decode([np.array(ids)]) == [text]
