@@ -43,13 +43,19 @@ def _clean(value: str) -> str:
     return value.replace("\r", "%0D").replace("\n", "%0A")
 
 
+def compressed(data: bytes, level: int, strategy: int, piece: int) -> bytes:
+    """data as a gzip member; the compressor starts anew after every piece bytes."""
+    z = zlib.compressobj(level, zlib.DEFLATED, 31, 9, strategy)
+    return b"".join(z.compress(data[i : i + piece]) + z.flush(zlib.Z_FULL_FLUSH) for i in range(0, len(data), piece)) + z.flush()
+
+
 def member(data: bytes) -> bytes:
-    """data as a gzip member in which no other valid record begins."""
-    for level, strategy in ((6, zlib.Z_DEFAULT_STRATEGY), (9, zlib.Z_DEFAULT_STRATEGY), (6, zlib.Z_HUFFMAN_ONLY), (6, zlib.Z_FIXED)):
-        z = zlib.compressobj(level, zlib.DEFLATED, 31, 9, strategy)
-        out = z.compress(data) + z.flush()
+    """data as a gzip member in which no other record begins. A magic from which nothing of a record inflates within
+    the member, such as one in its checksum and length, is no record: the reader judges it by what follows, as here."""
+    for level, strategy, piece in ((6, zlib.Z_DEFAULT_STRATEGY, 1 << 40), (6, zlib.Z_HUFFMAN_ONLY, 1 << 40), (6, zlib.Z_FIXED, 1 << 40), (6, zlib.Z_DEFAULT_STRATEGY, 1021), (6, zlib.Z_HUFFMAN_ONLY, 251)):
+        out = compressed(data, level, strategy, piece)
         at = out.find(MAGIC, 1)
-        while at >= 0 and inflate(out[at:]) is None:
+        while at >= 0 and inflate(out[at:], whole=True) is None:
             at = out.find(MAGIC, at + 1)
         if at < 0:
             return out
@@ -72,14 +78,15 @@ def record(key: str | None, url: str | None, payload: bytes, refers_to: str | No
     return "\r\n".join(head).encode() + HEAD_END + body + HEAD_END
 
 
-def inflate(buffer: bytes) -> tuple[dict[str, str], bytes, int] | None | str:
+def inflate(buffer: bytes, whole: bool = False) -> tuple[dict[str, str], bytes, int] | None | str:
     """(headers, payload, member length) of the record whose member begins the buffer, None if none does, "more" if
-    the buffer ends too early to tell."""
+    the buffer ends too early to tell. whole: the buffer ends where a member ends; a candidate of which not even the
+    version line inflates is none then."""
     z = zlib.decompressobj(31)
     try:
         first = z.decompress(buffer[:4096], 64)
         if not first.startswith(b"WARC/"):
-            return "more" if len(first) < 5 and b"WARC/".startswith(first) and not z.eof and len(buffer) < 4096 else None
+            return "more" if len(first) < 5 and b"WARC/".startswith(first) and not z.eof and len(buffer) < 4096 and not whole else None
         z = zlib.decompressobj(31)
         data = z.decompress(buffer)
     except zlib.error:
@@ -176,7 +183,6 @@ def write_warc(pages: DataFrame, folder: str, key_col: str = "page_id", url_col:
 
 def read_warc(manifest: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """key string, url, payload_bytes, payload_digest, record_type, refers_to string, payload (null in revisits)."""
-    spark = manifest.sparkSession
     ranges = manifest.select("name", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
     tasks = max(1, min(100_000, manifest.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1))
     spread = ranges.repartition(int(tasks), "name", "start") if tasks > 1 else ranges
@@ -198,7 +204,6 @@ def read_warc(manifest: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES)
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    del spark
     return spread.mapInArrow(scan, "key string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary")
 
 

@@ -76,6 +76,15 @@ def test_keyed_access(spark, tmp_path):
     assert shard.find(np.array([0]), np.array([True])).tolist() == [2]
 
 
+def test_any_key_beside_null(spark):
+    rows = [(k, "a b") for k in (None, -7046029254386353131, 2**63 - 1, -(2**63), None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = shared_dir(spark, "t3")
+    got = as_rows(token_ids.read_token_ids(token_ids.write_token_ids(docs, folder, BPE), folder))
+    key = lambda x: (x is not None, x or 0)
+    assert sorted((r[0] for r in got), key=key) == sorted((r[0] for r in rows), key=key)
+
+
 def test_warc_equals_sql(spark, sf, same):
     same(warc.op4_warc(spark, sf), warc.ORACLE)
 
@@ -94,6 +103,32 @@ def test_every_range_size_reads_every_record_once(spark, sf):
     assert sorted(r.key for r in warc.read_warc(manifest, folder, 10_000).collect()) == want
 
 
+def test_magic_in_the_trailer(tmp_path):
+    """Records of 2,187 bytes whose checksum ends in 1f: checksum and length hold a gzip magic."""
+    rest, found = 2187 - len(warc.record("1", "u", b"%01000d" % 0, None, False)) + 1000, []
+    for i in range(40_000):
+        if zlib.crc32(data := warc.record("1", "u", b"%0*d" % (rest, i), None, False)) >> 24 == 0x1F and len(data) == 2187:
+            found.append(data)
+    assert len(found) > 50
+    members = [warc.member(x) for x in found]
+    assert all(m.find(warc.MAGIC, len(m) - 9) > 0 for m in members)
+    (tmp_path / "a").write_bytes(whole := b"".join(members))
+    with files.open_input(f"file://{tmp_path}", "a") as handle:
+        want = [body for _, body in warc.read_range(handle, len(whole), 0, len(whole))]
+        assert len(want) == len(found)
+        for step in (7, 101, len(members[0]) - 5, len(members[0])):
+            assert [b for at in range(0, len(whole), step) for _, b in warc.read_range(handle, len(whole), at, min(len(whole), at + step))] == want
+
+
+def test_nested_members_of_every_kind():
+    inner = [warc.member(warc.record(str(i), "u", b"x" * i, None, False)) for i in range(0, 400, 23)]
+    for payload in (b"".join(inner), b"\x00".join(inner * 3), inner[3] * 50):
+        data = warc.record("9", "u", payload, None, False)
+        out = warc.member(data)
+        assert zlib.decompress(out, 31) == data
+        assert [at for at in range(1, len(out)) if out.startswith(warc.MAGIC, at) and warc.inflate(out[at:], whole=True) is not None] == []
+
+
 def test_warc_edges(spark):
     nested = warc.member(warc.record("9", "u", b"inner", None, False)).decode("latin-1")
     rows = [(1, "u", "a"), (2, None, "a"), (None, "u", "a"), (3, "u\r\nX: y", None), (4, "u", ""), (5, "u", nested), (6, "u", "x" * 200_000), (6, "u", "x" * 200_000)]
