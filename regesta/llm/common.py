@@ -1,8 +1,8 @@
 """Shared helpers of the corpus operators: column picking, shared tables, connected components.
 
 Every operator names the columns it reads; other columns are ignored, whatever they are called. Intermediate tables
-go to the folder in ``spark.checkpoint.dir`` (all executors see it); a temporary folder of this process is used only
-where that setting is absent, as in tests.
+go to the folder in ``spark.checkpoint.dir`` (all executors see it). Where it is unset a single-machine session
+(master local[n]) takes a temporary folder of this process; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder; nothing is created there yet."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if "dir" not in _own:
             _own["dir"] = tempfile.mkdtemp(prefix="regesta-")
             atexit.register(shutil.rmtree, _own["dir"], True)
@@ -62,8 +64,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def rows_of(df: DataFrame) -> int:
-    return df.count()
+def tasks_for(df: DataFrame, task_bytes: int) -> int:
+    """Shuffle partitions for the rows of df: the session's setting, or more where a task would get over task_bytes of
+    what the scan is known to read."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1_000_000, known // task_bytes))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

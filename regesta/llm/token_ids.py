@@ -27,35 +27,47 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 import tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import files
-from .common import picked, shared_dir, stored
+from .common import picked, shared_dir, stored, tasks_for
 
 MAGIC = b"REGIDS01"
-SHARD_IDS, CACHED, BATCH_BYTES = 8 << 20, 800_000, 16 << 20
-NULL_KEY = np.uint64(0x9E3779B97F4A7C15)
+SHARD_IDS, CACHED, BATCH_BYTES, TASK_BYTES = 8 << 20, 900_000, 32 << 20, 256 << 20
 
 
 # ---- encoding ------------------------------------------------------------------------------------------------------
-#: Written before each run of blanks to cut there; texts that hold it already aren't cut.
+#: Written before each run of blanks, and between a Latin letter and a digit or sign after it (but an apostrophe), to
+#: cut there; texts that hold it already aren't cut.
 CUT = "\x01"
-BLANKS = r"([\s\x0b\x{85}\pZ]+)"
-ALONE = re.compile(r" ?\S+")
+EDGES = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([!-&(-@\[-`{-~])|([\s\x0b\x{85}\pZ]+)"
+#: What byte-level pre-tokens are, and the characters whose classes all versions of Unicode in use agree on.
+PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+KNOWN = re.compile(r"[\t\n\r\x20-\x7e\u00a1-\u024f\u0400-\u0481\u048a-\u04ff]*")
+
+
+def byte_signs() -> dict[int, str]:
+    """The sign that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself, others from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 class Encoder:
-    """ids of texts as bytes. A text is cut before its runs of blanks, where no pre-token of a byte-level vocabulary
-    reaches across. Each different piece of a batch is looked up in a bounded cache or encoded by the tokenizers
-    library, many to a call, parted by line feeds; the ids of the texts are then gathered by numpy."""
+    """ids of texts as bytes. With a byte-level vocabulary a text is cut before its runs of blanks and after its letters,
+    where no pre-token reaches across. Each different piece of a batch is looked up in a bounded cache or put together from its
+    pre-tokens, which the tokenizers library's model encodes once each; the ids of the texts are then gathered by
+    numpy. Pieces with rare characters, and all texts of other vocabularies, go to the library as they are."""
 
     def __init__(self, path: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,34 +76,41 @@ class Encoder:
         self.dtype = np.dtype(dtype)
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        mark = [self.inner.encode(x, add_special_tokens=False).ids for x in ("\n", "a\n a", "a\na", " a", "a")]
-        self.mark = mark[0][0]
-        self.cuts = mark[1] == [*mark[4], self.mark, *mark[3]] and mark[2] == [*mark[4], self.mark, *mark[4]]
+        self.signs = byte_signs()
+        parts = json.loads(self.inner.to_str())
+        before = parts["pre_tokenizer"] or {}
+        self.cuts = (
+            before.get("type") == "ByteLevel" and before.get("use_regex") is True and not before.get("add_prefix_space")
+            and parts["normalizer"] is None and parts["model"]["type"] == "BPE" and not parts["model"].get("dropout")
+            and all(x["special"] for x in parts["added_tokens"])
+        )
+        self.model = self.inner.model
 
     def pieces(self, texts: pa.Array) -> pa.ListArray:
         if not self.cuts:
             return pc.split_pattern(texts, CUT)
         whole = pc.match_substring(texts, CUT)
-        return pc.split_pattern(pc.if_else(whole, texts, pc.replace_substring_regex(texts, BLANKS, CUT + r"\1")), CUT)
+        return pc.split_pattern(pc.if_else(whole, texts, pc.replace_substring_regex(texts, EDGES, r"\1" + CUT + r"\2\3")), CUT)
+
+    def as_bytes(self, ids: list[list[int]]) -> list[bytes]:
+        raw = np.fromiter(chain.from_iterable(ids), self.dtype).tobytes()
+        ends = (np.cumsum([0, *map(len, ids)]) * self.dtype.itemsize).tolist()
+        return [raw[a:b] for a, b in zip(ends, ends[1:])]
 
     def learn(self, new: list[str]) -> None:
-        alone = [self.cuts and ALONE.fullmatch(x) is not None for x in new]
-        plain = [x for x, ok in zip(new, alone) if ok]
-        rest = [x for x, ok in zip(new, alone) if not ok]
-        size = self.dtype.itemsize
-        for i in range(0, len(plain), 8192):
-            parts = [plain[j : j + 256] for j in range(i, min(i + 8192, len(plain)), 256)]
-            for part, e in zip(parts, self.inner.encode_batch_fast(["\n".join(x) for x in parts], add_special_tokens=False)):
-                ids = np.array(e.ids, self.dtype)
-                ends = np.flatnonzero(ids == self.mark)
-                if len(ends) != len(part) - 1:
-                    raise ValueError("a line feed isn't an id of its own")
-                raw, at = ids.tobytes(), (ends * size).tolist()
-                self.cache.update(zip(part, [raw[a:b] for a, b in zip([0, *(x + size for x in at)], [*at, len(raw)])]))
-        for i in range(0, len(rest), 4096):
-            part = rest[i : i + 4096]
-            for x, e in zip(part, self.inner.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[x] = np.array(e.ids, self.dtype).tobytes()
+        """Puts new pieces, and their pre-tokens, into the cache."""
+        cache, one, signs = self.cache, self.model.tokenize, self.signs
+        for i in range(0, len(new), 8192):  # few lists alive at a time
+            part = new[i : i + 8192]
+            plain = [x for x in part if KNOWN.fullmatch(x)] if self.cuts else []
+            if len(plain) < len(part):
+                rest = list(set(part).difference(plain))
+                cache.update(zip(rest, self.as_bytes([e.ids for e in self.inner.encode_batch_fast(rest, add_special_tokens=False)])))
+            alone = [x for x in plain if x[1:].isalpha() and (x[0] == " " or x[0].isalpha())]  # a blank and letters
+            split = [(x, PRETOKEN.findall(x)) for x in set(plain).difference(alone)]
+            lacking = [t for t in {*alone, *chain.from_iterable(ts for _, ts in split)} if t not in cache]
+            cache.update(zip(lacking, self.as_bytes([[x.id for x in one(t.encode().decode("latin-1").translate(signs))] for t in lacking])))
+            cache.update([(x, b"".join([cache[t] for t in ts])) for x, ts in split])
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """texts: an array of strings without nulls."""
@@ -178,11 +197,6 @@ class PerfectHash:
         return out
 
 
-def hashed_keys(keys: np.ndarray, null: np.ndarray) -> np.ndarray:
-    """One to one on the keys; null keys meet in a value of their own (a doc_id with that value isn't kept apart)."""
-    return np.where(null, NULL_KEY, keys.astype(np.uint64))
-
-
 def prints(keys: np.ndarray) -> np.ndarray:
     return (mixed(keys, 1 << 20) >> np.uint64(32)).astype(np.uint32)
 
@@ -208,7 +222,9 @@ class ShardWriter:
             return None
         null = np.array([k is None for k in self.keys])
         keys = np.array([0 if k is None else k for k in self.keys], np.int64)
-        distinct, first = np.unique(hashed_keys(keys, null), return_index=True)
+        there = np.flatnonzero(~null)
+        distinct, first = np.unique(keys[there].astype(np.uint64), return_index=True)
+        first = there[first]
         index = PerfectHash.build(distinct)
         slots = index.slots(distinct)
         by_slot, marks = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.uint32)
@@ -219,8 +235,8 @@ class ShardWriter:
         foot = json.dumps({"dtype": self.dtype.str, "n_ids": self.ends[-1], "n_docs": len(keys), "n_keys": len(distinct), "levels": [len(x) for x in index.levels], "rest": len(index.rest)}).encode()
         self.out.write(foot + len(foot).to_bytes(8, "little") + MAGIC)
         self.out.close()
-        there = [k for k in self.keys if k is not None]
-        row = {"name": self.name, "n_docs": len(keys), "n_ids": self.ends[-1], "first_key": min(there, default=None), "last_key": max(there, default=None), "has_null": bool(null.any())}
+        seen = [k for k in self.keys if k is not None]
+        row = {"name": self.name, "n_docs": len(keys), "n_ids": self.ends[-1], "first_key": min(seen, default=None), "last_key": max(seen, default=None), "has_null": bool(null.any())}
         self.out = None
         return row
 
@@ -251,12 +267,13 @@ class Shard:
         self.index = PerfectHash(levels, section(np.uint64, foot["rest"]))
 
     def find(self, keys: np.ndarray, null: np.ndarray | None = None) -> np.ndarray:
-        """The first document of each key, -1 if the key isn't there."""
-        hashes = hashed_keys(keys, np.zeros(len(keys), bool) if null is None else null)
+        """The first document of each key (of null, where null is set), -1 if the key isn't there."""
+        hashes = keys.astype(np.uint64)
         slots = self.index.slots(hashes)
         ok = slots >= 0
         ok[ok] = self.marks[slots[ok]] == prints(hashes[ok])
-        return np.where(ok, self.by_slot[np.maximum(slots, 0)] if len(self.by_slot) else -1, -1)
+        found = np.where(ok, self.by_slot[np.maximum(slots, 0)] if len(self.by_slot) else -1, -1)
+        return found if null is None else np.where(null, int(self.null.argmax()) if self.null.any() else -1, found)
 
     def ids(self, document: int) -> np.ndarray:
         width = self.dtype.itemsize
@@ -270,7 +287,7 @@ class Shard:
 def write_token_ids(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, dtype: str = "<u2", shard_ids: int = SHARD_IDS) -> DataFrame:
     """Shards in folder; the manifest: part, seq, name, n_docs, n_ids, first_key, last_key, has_null. dtype must hold the vocabulary."""
     base = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    n = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = tasks_for(docs, TASK_BYTES)
     ranged = base.withColumn("tie", F.xxhash64("text")).repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text")
     ranged = ranged.select("doc_id", "text", F.spark_partition_id().alias("part"))
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64()), ("has_null", pa.bool_())])
@@ -303,7 +320,7 @@ def read_token_ids(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, each found through its shard's index."""
     before = W.orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1)  # one row a shard of some million ids
     starts = manifest.select("name", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    n = max(8, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = max(8, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), manifest.count() // 4)
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
