@@ -198,7 +198,7 @@ def test_without_dropout_equals_the_library(spark, sf):
     texts = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + ["", " ", "  a ", "a  b", "x▁y", "\x01 q", "\x00", "é😀漢", "x" * 100, " \x01"]
     got = tool.encode([(None, t) for t in texts])
     assert all(x.tolist() == tool.sp.encode(t) for x, t in zip(got, texts) if "▁" not in t)
-    assert tool.decode(got) == texts
+    assert tool.decode(got) == texts == [tool.sp.decode(x.tolist()) for x in got]
 
 
 def test_dropout_varies_and_is_lossless(spark, sf, odd, empty):
@@ -208,7 +208,7 @@ def test_dropout_varies_and_is_lossless(spark, sf, odd, empty):
     assert a == c != b and a != tool.sp.encode(text)
     words = ["▁international", "▁straße", "a" * 40, "▁x😀y"]
     for v in range(4):  # all words at once, or one by one with an agenda
-        assert tool.together([(w, v) for w in words]) == [tool.as_ids(tool.alone(w, v)) for w in words]
+        assert tool.direct(words, np.full(len(words), v, np.uint64)) == [tool.as_ids(tool.alone(w, v)) for w in words]
     rows = sentencepiece_codec.encoded(odd, PIECES, with_ids=True).collect()
     texts = sorted(hashlib.sha256((r[1] or "").encode()).hexdigest() for r in odd.collect())
     assert all(r.lossless and r.n_tokens == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in rows)
@@ -218,6 +218,45 @@ def test_dropout_varies_and_is_lossless(spark, sf, odd, empty):
     assert one == two
 
 
+def plain_dropout(tool, word, draw):
+    """Segmentation by the definition: of all pairs that may be joined and weren't skipped, the best score, leftmost first."""
+    n = len(tool.score) - 1
+    parts, met = [(i, tool.symbols[c]) for i, c in enumerate(word)], {}
+
+    def may(i):
+        (place, a), (_, b) = parts[i], parts[i + 1]
+        got = tool.pair_map.get(a * tool.size + b)
+        if got is not None and (place, a, b) not in met:
+            x = (draw + (place << 40) + (a * tool.size + b) * 0x9E3779B97F4A7C15) % 2**64
+            x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) % 2**64
+            x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) % 2**64
+            met[place, a, b] = x ^ (x >> 31) < int(tool.limit)
+        return got is not None and not met[place, a, b]
+
+    while found := [(-tool.score[tool.pair_map[parts[i][1] * tool.size + parts[i + 1][1]]], i) for i in range(len(parts) - 1) if may(i)]:
+        i = min(found)[1]
+        parts[i : i + 2] = [(parts[i][0], tool.pair_map[parts[i][1] * tool.size + parts[i + 1][1]])]
+    assert all(s < n for _, s in parts)
+    return [s for _, s in parts]
+
+
+def test_trees_only_save_work(monkeypatch):
+    """The trees' outcomes are those of the definition, also when trees are given up on the way."""
+    rng = random.Random(3)
+    words = ["the", "international", "understanding", "a", "processing", "nationality", "une", "straße"] + ["".join(rng.choice("aeinrst") for _ in range(rng.randint(1, 12))) for _ in range(40)]
+    for nodes in (1_800_000, 60):
+        monkeypatch.setattr(sentencepiece_codec, "NODES", nodes)
+        tool = sentencepiece_codec.Codec(PIECES, 0.3)
+        for doc in range(12):
+            picked = [rng.choice(words) for _ in range(150)]
+            draws = tool.draws([doc], [len(picked)])
+            ids, lengths = tool.cut(picked, draws)
+            ends = np.cumsum(lengths).tolist()
+            want = [plain_dropout(tool, "▁" + w, d) for w, d in zip(picked, draws.tolist())]
+            assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends)] == want
+        assert tool.n_nodes > 20
+
+
 def test_each_occurrence_is_cut_for_itself():
     tool = sentencepiece_codec.Codec(PIECES, 0.1)
     for text in ("international " * 3000, "▁" + "international " * 3000):
