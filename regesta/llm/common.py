@@ -12,6 +12,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +60,29 @@ def kept_columns(df: DataFrame, build) -> DataFrame:
     return out.select(*[f"c{i}_" for i in range(len(names))]).toDF(*names)
 
 
+def located(docs: DataFrame) -> DataFrame:
+    """docs with its rows' places in files; a frame that doesn't come straight from files is written first."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+        return docs
+    except AnalysisException:
+        names = docs.columns
+        return stored(docs.toDF(*[f"c{i}_" for i in range(len(names))]), "placed").toDF(*names)
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """The columns of a located frame, with place_file_ and place_row_ at the end: a row's place, unlike its id, is its own."""
+    return docs.select("*", F.col("_metadata.file_path").alias("place_file_"), F.col("_metadata.row_index").alias("place_row_"))
+
+
+def by_place(docs: DataFrame, marks: DataFrame, how: str, most: int = 250_000) -> DataFrame:
+    """A located frame joined by place to marks (file, row, and more); columns c0_, c1_, ... and those of marks. At most
+    most rows of marks are broadcast."""
+    at = placed(docs).toDF(*[f"c{i}_" for i in range(len(docs.columns))], "place_file_", "place_row_")
+    small = marks.count() <= most
+    return at.join(F.broadcast(marks) if small else marks, (F.col("place_file_") == F.col("file")) & (F.col("place_row_") == F.col("row")), how)
+
+
 def let(value: Column, body) -> Column:
     """body(v) with value computed once a row: v is a lambda's variable, which the optimizer can't inline."""
     return F.transform(F.array(value), body)[0]

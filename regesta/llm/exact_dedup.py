@@ -2,7 +2,7 @@
 
 A feed of (digest, stable identifier, content locator) flows through a streaming aggregation whose state, one row a
 digest, lives in RocksDB on the executors' disks with its change log in the shared folder. The state has no watermark
-and no expiry: it keeps the digest, the identifier that stays, the locator of its text and the count. A digest seen
+and no expiry, and goes on from call to call under a given path: it keeps the digest, the identifier that stays, the locator of its text and the count. A digest seen
 twice is a hit; the full texts of all hits are then compared byte by byte, so equal digests of different texts (a
 collision) stay apart.
 
@@ -15,11 +15,10 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept_columns, picked, shared_dir, stored
+from .common import by_place, located, picked, placed, shared_dir, stored
 
 #: Digests that may be broadcast: 32 bytes each, 32 MB at most. More are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -48,28 +47,16 @@ def settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """docs with its rows' places in files; a frame that doesn't come straight from files is written first."""
-    try:
-        docs.select("_metadata.file_path", "_metadata.row_index")
-        return docs
-    except AnalysisException:
-        names = docs.columns
-        return stored(docs.toDF(*[f"c{i}_" for i in range(len(names))]), "dedup-docs").toDF(*names)
-
-
 def with_place(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    names = docs.columns
-    at = docs.select("*", F.col("_metadata.file_path").alias("file_"), F.col("_metadata.row_index").alias("row_"))
-    return picked(at.toDF(*names, "file_", "row_"), doc_id=id_col, text=text_col, file="file_", row="row_").withColumn("text", F.coalesce("text", F.lit("")))
+    return picked(placed(docs), doc_id=id_col, text=text_col, file="place_file_", row="place_row_").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def stream_state(spark: SparkSession, feed: DataFrame, path: str, bytes_per_trigger: int) -> DataFrame:
-    """digest, keep, n: the state after the feed has gone through. A rerun with the same path goes on where it stopped."""
-    out, batches = f"{path}/state", []
+    """digest, keep, n: the state after all files of path/feed have gone through. A call with the same path goes on
+    where the last one stopped; files that came in the meantime meet the digests of all earlier ones."""
+    out = f"{path}/state"
 
     def update(rows: DataFrame, batch: int) -> None:
-        batches.append(batch)
         rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
     source = spark.readStream.schema(feed.schema).option("maxBytesPerTrigger", bytes_per_trigger).parquet(f"{path}/feed")
@@ -77,23 +64,35 @@ def stream_state(spark: SparkSession, feed: DataFrame, path: str, bytes_per_trig
     with settings(spark, STATE):
         query = seen.writeStream.outputMode("update").foreachBatch(update).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
-    schema = seen.schema
+    folder = spark._jvm.org.apache.hadoop.fs.Path(out)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    batches = len(system.listStatus(folder)) if system.exists(folder) else 0
     if not batches:
-        return spark.createDataFrame([], schema)
-    state = spark.read.schema(schema).parquet(f"{out}/batch=*")
-    if len(batches) == 1:
+        return spark.createDataFrame([], seen.schema)
+    state = spark.read.schema(seen.schema).parquet(f"{out}/batch=*")
+    if batches == 1:
         return state
     return state.groupBy("digest").agg(F.max("keep").alias("keep"), F.max("n").alias("n"))  # both only grow
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, bytes_per_trigger: int = 64 << 30) -> DataFrame:
-    """A row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256, and file, row (its locator)."""
+def trigger_bytes(feed: DataFrame) -> int:
+    """A sixteenth of the feed, 256 MB at least: large feeds go through the state in several batches."""
+    return max(256 << 20, int(str(feed._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // 16)
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, bytes_per_trigger: int | None = None, state_path: str | None = None) -> DataFrame:
+    """A row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256, and file, row (its locator).
+
+    With a state_path in a shared folder a call that was stopped is taken up again by the next one: the feed is written
+    once, and the stream goes on at the batch that wasn't finished. docs must be the same then."""
     spark = docs.sparkSession
     base = with_place(located(docs), id_col, text_col)
-    path = shared_dir(spark, "dedup")
-    base.select("doc_id", "file", "row", digest(F.col("text")).alias("digest"), F.sha2("text", 256).alias("text_sha256")).write.parquet(f"{path}/feed")
+    path = state_path or shared_dir(spark, "dedup")
+    whole = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/feed/_SUCCESS")
+    if not whole.getFileSystem(spark._jsc.hadoopConfiguration()).exists(whole):
+        base.select("doc_id", "file", "row", digest(F.col("text")).alias("digest"), F.sha2("text", 256).alias("text_sha256")).write.mode("overwrite").parquet(f"{path}/feed")
     feed = spark.read.parquet(f"{path}/feed")
-    state = stream_state(spark, feed.drop("text_sha256"), path, bytes_per_trigger)
+    state = stream_state(spark, feed.drop("text_sha256"), path, bytes_per_trigger or trigger_bytes(feed))
     multi = stored(state.where("n > 1"), "dedup-multi")
     # Full bytes of the hits: copies meet in the map-side aggregation, a digest's different texts stay different keys.
     keys = multi.select("digest")
@@ -125,13 +124,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs without the rows whose text another, kept row has; all columns stay."""
     docs = located(docs)
     names = docs.columns
-    gone = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col("file").alias("gone_file_"), F.col("row").alias("gone_row_"))
-    at = docs.select("*", F.col("_metadata.file_path").alias("file_"), F.col("_metadata.row_index").alias("row_"))
-    at = at.toDF(*[f"c{i}_" for i in range(len(names))], "file_", "row_")
-    gone = stored(gone, "dedup-gone")
-    small = gone.count() <= BROADCAST_ROWS // 4
-    at = at.join(F.broadcast(gone) if small else gone, (F.col("file_") == F.col("gone_file_")) & (F.col("row_") == F.col("gone_row_")), "left_anti")
-    return at.select(*[f"c{i}_" for i in range(len(names))]).toDF(*names)
+    gone = stored(exact_dedup(docs, id_col, text_col).where("not kept").select("file", "row"), "dedup-gone")
+    return by_place(docs, gone, "left_anti").select(*[f"c{i}_" for i in range(len(names))]).toDF(*names)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,4 +140,3 @@ SELECT doc_id,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents
 """
-__all__ = ["ORACLE", "drop_copies", "exact_dedup", "kept_columns", "op2_exact_dedup"]

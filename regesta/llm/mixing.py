@@ -11,7 +11,7 @@ source's largest document; of OFFSETS seeded offsets the one that comes nearest
 rows of a bucket), so no task holds a source or a size; a source has at most sqrt(2 * words) different sizes.
 
 Nulls: a null text or one without words has size 0 and is taken 0 times over; null is a source of its own, last in
-order. Rows with equal ids and sizes are separate rows whose order doesn't matter. An empty table gives an empty result.
+order. Rows without an id are ordered by a hash of their text. Rows with equal ids and sizes are separate rows whose order doesn't matter. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, kept_columns, picked, stored
+from .common import WORD, by_place, located, picked, placed, stored
 
 WEIGHTS, SHARE, EPOCHS, SEED = (3, 1, 2), 1.5, 2, "mix-1"
 OFFSETS = 16
@@ -52,9 +52,11 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
     """A row for each row of docs: doc_id, source, size, source_size, target, copies, taken (copies * size)."""
-    base = picked(docs, doc_id=id_col, text=text_col, source=source_col)
-    sized = stored(base.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
-    hashed = sized.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))).withColumn("b", F.substring("h", 1, 3))
+    place = {"file": "place_file_", "row": "place_row_"} if "place_file_" in docs.columns else {}
+    base = picked(docs, doc_id=id_col, text=text_col, source=source_col, **place)
+    mark = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.md5(F.coalesce("text", F.lit("")))))
+    sized = stored(base.select(*place, "doc_id", mark.alias("mark"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
+    hashed = sized.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), "mark"))).withColumn("b", F.substring("h", 1, 3))
     keys = ["source", "size", "b"]
     buckets = hashed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     within = W.partitionBy("source", "size").orderBy("b")
@@ -66,15 +68,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     starts = lengths.join(goals, lengths.source.eqNullSafe(goals.goal_source)).select(F.col("source").alias("s_source"), F.col("size").alias("s_size"), "in_source", "source_size", "target", "u")
     starts = buckets.join(starts, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("size") == F.col("s_size")))
     starts = stored(starts.select("s_source", "s_size", F.col("b").alias("s_b"), "source_size", "target", "u", (F.col("in_source") + F.col("in_size")).alias("start")), "mix-starts")
-    ranked = hashed.withColumn("in_bucket", F.row_number().over(W.partitionBy(*keys).orderBy("h", "doc_id")) - 1)
+    ranked = hashed.withColumn("in_bucket", F.row_number().over(W.partitionBy(*keys).orderBy("h", "doc_id", *place)) - 1)
     joined = ranked.join(starts, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("size") == F.col("s_size")) & (F.col("b") == F.col("s_b")))
     r = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    ranked = stored(joined.select("doc_id", "source", "size", "source_size", "target", "u", (F.col("start") + F.col("in_bucket")).cast("double").alias("k"), r.alias("r")), "mix-ranks")
+    ranked = stored(joined.select(*place, "doc_id", "source", "size", "source_size", "target", "u", (F.col("start") + F.col("in_bucket")).cast("double").alias("k"), r.alias("r")), "mix-ranks")
     sums = ranked.groupBy("source").agg(F.first("target").alias("goal"), *[F.sum(copies_at(offset(j)) * F.col("size")).alias(f"s{j}") for j in range(OFFSETS)])
     nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"s{j}") - F.col("goal")).alias("miss"), F.lit(j).alias("j")) for j in range(OFFSETS)]))["j"]
     chosen = stored(sums.select(F.col("source").alias("c_source"), nearest.alias("j")), "mix-offsets")
     out = ranked.join(chosen, F.col("source").eqNullSafe(F.col("c_source"))).withColumn("copies", copies_at(offset(F.col("j"))).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(*place, "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def offset(j) -> Column:
@@ -87,14 +89,13 @@ def copies_at(u: Column) -> Column:
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """docs with every row as often as the mix takes it; all columns stay. Rows that share an id are taken alike."""
-    takes = mix(docs, id_col, text_col, source_col, **how).groupBy(F.col("doc_id").alias("take_id_")).agg(F.max("copies").alias("copies")).where("copies > 0")
-
-    def build(flat: DataFrame, ref) -> DataFrame:
-        joined = flat.join(takes, ref(id_col).eqNullSafe(F.col("take_id_")))
-        return joined.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-
-    return kept_columns(docs, build)
+    """docs with every row as often as the mix takes it; all columns stay. Rows are taken each for itself, whatever
+    their ids."""
+    docs = located(docs)
+    names = docs.columns
+    takes = stored(mix(placed(docs), id_col, text_col, source_col, **how).where("copies > 0").select("file", "row", "copies"), "mix-takes")
+    joined = by_place(docs, takes, "inner").withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return joined.select(*[f"c{i}_" for i in range(len(names))]).toDF(*names)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +105,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oracle(documents: str = "documents") -> str:
     """DuckDB: doc_id, source, size, source_size, target, copies, taken."""
     return f"""
-WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size FROM {documents}),
+WITH sized AS (SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), '#' || md5(coalesce(text, ''))) AS mark, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size FROM {documents}),
 total AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 listed AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS pos FROM total),
 weighed AS (SELECT *, CAST([3.0, 1.0, 2.0][1 + CAST((pos - 1) % 3 AS INTEGER)] AS DOUBLE) AS weight, source_size * CAST(2.0 AS DOUBLE) AS cap FROM listed),
@@ -120,7 +121,7 @@ goals AS (
   SELECT l.source, l.source_size, CASE WHEN f.k IS NULL OR l.k < f.k THEN l.cap ELSE f.level * l.weight END AS target,
          CAST(CAST('0x' || substr(md5('{SEED}:' || coalesce(l.source, chr(0))), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u
   FROM leveled l LEFT JOIN first_ok f ON true),
-ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY size, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS DOUBLE) AS k FROM sized),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY size, md5('{SEED}:' || mark), doc_id) - 1 AS DOUBLE) AS k FROM sized),
 rated AS (SELECT r.*, g.source_size, g.target, g.u, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0.0 END AS r
           FROM ranked r JOIN goals g ON r.source IS NOT DISTINCT FROM g.source),
 tried AS (SELECT *, CAST(floor(r * (k + 1.0) + v) - floor(r * k + v) AS BIGINT) AS copies

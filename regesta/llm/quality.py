@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, kept_columns, let, picked, stored
+from .common import WORD, by_place, let, located, picked, placed, stored
 
 HOST_MAX, TRUSTED = 0.8, 0.02
 SYMBOLS = "#*$%&|<>"
@@ -50,14 +50,15 @@ def repeated_words(words: Column) -> Column:
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    base = picked(docs, doc_id=id_col, text=text_col, host=host_col).withColumn("text", F.coalesce("text", F.lit("")))
+    place = {"file": "place_file_", "row": "place_row_"} if "place_file_" in docs.columns else {}
+    base = picked(docs, doc_id=id_col, text=text_col, host=host_col, **place).withColumn("text", F.coalesce("text", F.lit("")))
     text = F.col("text")
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
     counts = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words")))
     dup = let(lines, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), F.size(x).alias("n_lines")))
-    rows = base.select("doc_id", F.col("host").cast("string").alias("host"), counts.alias("c"), dup.alias("d"), F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"), gone(text, SYMBOLS).cast("long").alias("n_symbols"), gone(text, UPPER).alias("n_upper"))
-    return rows.select("doc_id", "host", "c.n_words", "word_chars", "n_symbols", "d.n_dup_lines", "c.n_repeat_words", "d.n_lines", "n_upper")
+    rows = base.select(*place, "doc_id", F.col("host").cast("string").alias("host"), counts.alias("c"), dup.alias("d"), F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"), gone(text, SYMBOLS).cast("long").alias("n_symbols"), gone(text, UPPER).alias("n_upper"))
+    return rows.select(*place, "doc_id", "host", "c.n_words", "word_chars", "n_symbols", "d.n_dup_lines", "c.n_repeat_words", "d.n_lines", "n_upper")
 
 
 def host_verdicts(rows: DataFrame) -> DataFrame:
@@ -94,10 +95,11 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
 
 
 def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """docs without the documents that the rules reject; all columns stay. Ids are taken to be unique here: rows that
-    share an id stay only if all of them are kept."""
-    bad = judged(docs, id_col, text_col, host_col).where("not kept").select(F.col("doc_id").alias("bad_id_"))
-    return kept_columns(docs, lambda flat, ref: flat.join(bad, ref(id_col).eqNullSafe(F.col("bad_id_")), "left_anti"))
+    """docs without the rows that the rules reject; all columns stay. Every row is judged for itself, whatever its id."""
+    docs = located(docs)
+    names = docs.columns
+    bad = stored(judged(placed(docs), id_col, text_col, host_col).where("not kept").select("file", "row"), "quality-rejected")
+    return by_place(docs, bad, "left_anti").select(*[f"c{i}_" for i in range(len(names))]).toDF(*names)
 
 
 COUNTS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]

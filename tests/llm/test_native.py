@@ -1,6 +1,7 @@
 """Exact dedup, mixing, quality rules: SQL twins on data and edge cases."""
 
 import hashlib
+import os
 from collections import Counter, defaultdict
 
 import pandas as pd
@@ -44,6 +45,48 @@ def test_many_batches(spark):
     assert all(r.keep_id == max(x for x in range(400) if x % 37 == r.doc_id % 37) for r in rows)
 
 
+def test_a_stopped_stream_goes_on(spark, monkeypatch):
+    docs = exact_dedup.stored(spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 37).alias("text")).repartition(6), "t-docs")
+    path, whole = exact_dedup.shared_dir(spark, "t-state"), exact_dedup.stream_state
+    seen = []
+
+    def stopped(spark, feed, path, size):
+        """Only a part of the feed's files are there at first."""
+        at = path.removeprefix("file://") + "/feed"
+        parts = sorted(x for x in os.listdir(at) if x.startswith("part-"))
+        for name in parts[::2]:
+            os.rename(f"{at}/{name}", f"{at}/_{name}")
+        seen.append(whole(spark, feed, path, size).agg(F.sum("n")).first()[0])
+        for name in parts[::2]:
+            os.rename(f"{at}/_{name}", f"{at}/{name}")
+        raise InterruptedError
+
+    monkeypatch.setattr(exact_dedup, "stream_state", stopped)
+    try:
+        exact_dedup.exact_dedup(docs, state_path=path, bytes_per_trigger=1_000)
+    except InterruptedError:
+        pass
+    monkeypatch.setattr(exact_dedup, "stream_state", whole)
+    assert 0 < seen[0] < 300
+    for _ in range(2):  # the second time there is nothing new
+        rows = exact_dedup.exact_dedup(docs, state_path=path).collect()
+        assert Counter(r.kept for r in rows) == {True: 37, False: 263}
+        assert all(r.keep_id == max(x for x in range(300) if x % 37 == r.doc_id % 37) for r in rows)
+
+
+def test_rows_are_judged_and_taken_each_for_itself(spark):
+    good = " ".join(f"word{i}" for i in range(60))
+    rows = [(None, "short", "s"), (None, good, "s"), (1, "short", "s"), (1, good + " x", "s"), (1, good + " y", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = quality.drop_rejected(docs).collect()
+    assert sorted(r.text for r in kept) == sorted([good, good + " x", good + " y"])
+    sizes = Counter()
+    for r in mixing.mixed_rows(docs).collect():
+        sizes[r.source] += len(r.text.split())
+    want = sum(r.taken for r in mixing.mix(docs).collect())
+    assert sizes["s"] == want and abs(want - 1.5 * sum(len(t.split()) for _, t, _ in rows)) <= 61
+
+
 def test_mixing_edges(odd, empty, same):
     pdf = pd.DataFrame([(r[0], r[1], r[3]) for r in odd.collect()], columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"})
     pdf["text"] = pdf["text"].str.replace("\x00", "")
