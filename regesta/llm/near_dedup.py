@@ -7,15 +7,16 @@ evaluations; equal coordinates estimate the Jaccard similarity with the concentr
 
 Candidates: documents with the same shingle set are one class, of which the smallest doc_id stands for all. Classes that
 agree on a band of coordinates meet in a bucket; rows per band are chosen so that a pair at the threshold is missed
-with a chance under 1e-8. No bucket is turned into all its pairs: each document is compared with the most central
-member of its buckets (first links), and only buckets whose members are then still in several components are looked at
-again, in blocks of BLOCK sketches, where a pair from different components counts if its sketches agree enough
+with a chance under 1e-8. A bucket isn't turned into all its pairs at first: each document is compared with the most central
+member of its buckets (first links), and only buckets whose members are then still in several components are compared
+pair by pair, in blocks of BLOCK sketches, where a pair from different components counts if its sketches agree enough
 (five standard deviations below the threshold). All links are confirmed on full shingle sets made from whole texts.
 
 Shingles are compared by 64-bit hashes. Documents without words have an empty set and are linked with nothing.
 
-Nulls: a null text is empty; rows with a null doc_id are linked among and with others through their texts, and their component is the smallest
-doc_id of it, or null. Repeated rows are a class. Other columns are ignored. An empty table gives an empty result.
+Nulls: a null text is empty; each row with a null doc_id is a document of its own, numbered beyond the largest doc_id; its
+component is the smallest doc_id reachable, or null without one. Repeated rows are a class; rows that share a doc_id are
+one document, linked through each of their texts. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -131,7 +132,7 @@ def sketch_table(docs: DataFrame, k: int, threshold: float, id_col: str, text_co
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. Texts travel to the pairs; a text
     that many pairs need is dealt out in parts of 256 pairs."""
-    texts = picked(docs, doc_id=id_col, text=text_col).where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
+    texts = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
     pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(1 << 20)))
     busy = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("pairs")).withColumn("parts", F.ceil(F.col("pairs") / 256).cast("int"))
     busy = stored(busy, "near-busy")
@@ -211,14 +212,26 @@ def block_pairs(members: DataFrame, least: int, percent: int) -> DataFrame:
     return dealt.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long")
 
 
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int | None]:
+    """(doc_id, text) with numbers in place of null doc_ids, and the largest doc_id there was, if any was null."""
+    base = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
+    if not base.where("doc_id is null").limit(1).count():
+        return base, None
+    largest = base.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
+    fresh = stored(base.where("doc_id is null").select((F.lit(largest + 1) + F.monotonically_increasing_id()).alias("doc_id"), "text"), "near-numbered")
+    return base.where("doc_id is not null").unionByName(fresh), largest
+
+
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs; links are pairs with 100 * intersection >= percent * union."""
+    docs, largest = numbered(docs, id_col, text_col)
+    id_col, text_col = "doc_id", "text"
     threshold = percent / 100
     least = math.floor(COORDS * threshold - SIGMAS * math.sqrt(COORDS * threshold * (1 - threshold)))
     bands = BANDED // banding(threshold)
     table = stored(sketch_table(docs, k, threshold, id_col, text_col), "near-sketches")
     classes = stored(table.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "near-classes")
-    reps = table.where("n > 0").join(classes.where("n > 0 and rep is not null").select(F.col("rep").alias("r_"), F.col("digest").alias("d_")), (F.col("doc_id") == F.col("r_")) & (F.col("digest") == F.col("d_")))
+    reps = table.where("n > 0").join(classes.where("n > 0").select(F.col("rep").alias("r_"), F.col("digest").alias("d_")), (F.col("doc_id") == F.col("r_")) & (F.col("digest") == F.col("d_")))
     reps = stored(reps.select("doc_id", "n", "bands", "sketch").dropDuplicates(["doc_id", "n", "bands"]), "near-reps")
     # Buckets: a number a band; the band's number is part of what the key hashes.
     places = F.sequence(F.lit(0), F.lit(bands - 1))
@@ -245,7 +258,8 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     named = classes.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("d_"), F.coalesce("label", "rep").alias("label"))
     named = stored(named, "near-named")
     joined = table.join(named, F.col("digest") == F.col("d_"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("label")).alias("component_id"))
+    real = lambda x: x if largest is None else F.when(x <= largest, x)
+    return joined.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("label"))).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
