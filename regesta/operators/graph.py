@@ -14,18 +14,25 @@ from pyspark.sql import functions as F
 _own: list[str] = []
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df through a table in the folder of spark.checkpoint.dir; a temporary one only where that is unset."""
-    spark: SparkSession = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir. Where that is unset a single-machine session takes a temporary
+    folder; on a cluster that is an error."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="regesta-graph-"))
             atexit.register(shutil.rmtree, _own[0], True)
         base = f"file://{_own[0]}"
-    path = f"{base}/graph-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df through a table in the shared folder."""
+    path = folder(df.sparkSession, "graph")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def component_labels(edges: DataFrame) -> DataFrame:

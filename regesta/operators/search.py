@@ -15,9 +15,16 @@ def token_index(docs: DataFrame, key: str, text: str) -> DataFrame:
     return split.select("id", "dl", F.explode("terms").alias("term")).groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(index: DataFrame, terms: list[str]) -> DataFrame:
-    """id, score of documents with all terms."""
-    docs = index.select("id", "dl").distinct().agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("mean"))  # one row
+def doc_lengths(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """id, dl of documents with a term, without a shuffle."""
+    terms = F.filter(F.split(F.lower(F.col(text)), r"[^a-z0-9à-ÿ]+"), lambda x: x != "")
+    return docs.select(F.col(key).alias("id"), F.size(terms).alias("dl")).where("dl > 0")
+
+
+def bm25(index: DataFrame, terms: list[str], lengths: DataFrame | None = None) -> DataFrame:
+    """id, score of documents with all terms. lengths: id, dl of the documents with a term, if known apart; then the
+    index is only read for the terms asked for."""
+    docs = (index.select("id", "dl").distinct() if lengths is None else lengths).agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("mean"))  # one row
     hits = index.where(F.col("term").isin(terms))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # at most a row a query term
     scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(docs))
@@ -38,6 +45,6 @@ def boolean(index: DataFrame, all_of: list[str], none_of: list[str], any_of: lis
 
 def prefix_fallback(index: DataFrame, term: str) -> DataFrame:
     """ids with the term, or, if there is none, with a term that begins with it."""
-    exact = index.where(F.col("term") == term).select("id").distinct()
-    loose = index.where(F.col("term").startswith(term)).select("id").distinct()
-    return loose if exact.isEmpty() else exact
+    hits = index.where(F.col("term").startswith(term)).groupBy("id").agg(F.bool_or(F.col("term") == term).alias("exact"))
+    some = hits.where("exact").limit(1).select(F.lit(True).alias("some"))  # a row at most
+    return hits.join(F.broadcast(some), how="left").where(F.col("exact") | F.col("some").isNull()).select("id")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .graph import saved
+
 
 def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """a, b, d2 of the points (id, x, y) of both sides at most radius apart: each left point goes to the nine cells
@@ -20,7 +22,7 @@ def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
 
 
 def nearest(points: DataFrame, k: int, radius: float) -> DataFrame:
-    """a, b, rank, d2: the k nearest other points. The radius doubles for the points that lack k neighbours, until none
+    """a, b, rank, d2: the k nearest other points. The radius grows for the points that lack k neighbours, until none
     does or all points are covered; ties go to the smaller id."""
     some = points.agg(F.count(F.lit(1)).alias("n"), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
     wanted, span = min(k, some[0] - 1), 2 * max(some[1] or 0, some[2] or 0, radius)
@@ -28,11 +30,11 @@ def nearest(points: DataFrame, k: int, radius: float) -> DataFrame:
         return within(points, points, radius).where("a <> b").select("a", "b", F.lit(0).alias("rank"), "d2").limit(0)
     order, out, left = W.partitionBy("a").orderBy("d2", "b"), None, points
     while True:
-        pairs = within(left, points, radius).where("a <> b").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= wanted)
+        pairs = saved(within(left, points, radius).where("a <> b").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= wanted))
         full = pairs.groupBy("a").agg(F.max("rank").alias("most")).where(F.col("most") == wanted).select(F.col("a").alias("id"))
         done = pairs.join(full.withColumnRenamed("id", "a"), "a", "left_semi")
         out = done if out is None else out.unionByName(done)
-        left = left.join(full, "id", "left_anti")
+        left = saved(left.join(full, "id", "left_anti"))
         if radius > span or left.limit(1).count() == 0:
             return out.select("a", "b", "rank", "d2")
-        radius *= 2
+        radius *= 4

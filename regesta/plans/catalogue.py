@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, joins, records, statistics, windows
+from . import aggregates, joins, records, statistics, texts, windows
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "joins", "records", "statistics", "windows"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "joins", "records", "statistics", "texts", "windows"]

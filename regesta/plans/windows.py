@@ -239,7 +239,8 @@ def token_index(table):
 )
 def bm25_search(table):
     """Documents with both terms, by BM25."""
-    return search.bm25(search.token_index(table("documents"), "doc_id", "text"), ["the", "thing"]).withColumn("score", F.round("score", 6))
+    docs = table("documents")
+    return search.bm25(search.token_index(docs, "doc_id", "text"), ["the", "thing"], search.doc_lengths(docs, "doc_id", "text")).withColumn("score", F.round("score", 6))
 
 
 @query("boolean_search", f"{INDEX} SELECT id FROM i GROUP BY id HAVING count(*) FILTER (WHERE term = 'the') > 0 AND count(*) FILTER (WHERE term IN ('was', 'are')) > 0 AND count(*) FILTER (WHERE term = 'stupid') = 0")

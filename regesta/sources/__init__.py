@@ -1 +1 @@
-"""Readers."""
+"""Readers and writers of files."""
