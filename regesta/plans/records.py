@@ -22,7 +22,8 @@ def persons(table):
     return table("customer").select(c("c_custkey").alias("pid"), c("c_name").alias("name"), c("c_nationkey").alias("place"), c("c_acctbal").alias("bal"), c("c_mktsegment").alias("occ"))
 
 
-n = F.count(lit(1))
+def n():
+    return F.count(lit(1))
 
 
 # ---- predicates and views
@@ -73,7 +74,7 @@ def office_holder(table):
 @query("family_filter", f"SELECT place, count(*) AS n FROM {PERSONS} GROUP BY place HAVING count(*) >= 5 AND bool_or(contains(lower(occ), 'furn')) ORDER BY n DESC, place")
 def family_filter(table):
     """Families of five persons or more, one of them with the occupation."""
-    return persons(table).groupBy("place").agg(n.alias("n"), F.bool_or(F.lower("occ").contains("furn")).alias("has")).where("n >= 5 and has").select("place", "n").orderBy(c("n").desc(), "place")
+    return persons(table).groupBy("place").agg(n().alias("n"), F.bool_or(F.lower("occ").contains("furn")).alias("has")).where("n >= 5 and has").select("place", "n").orderBy(c("n").desc(), "place")
 
 
 @query("role_view", f"SELECT pid, name, occ FROM {PERSONS} WHERE occ = 'FURNITURE' AND contains(lower(name), '0') ORDER BY bal DESC, pid LIMIT 800")
@@ -100,7 +101,7 @@ def lexicon_relevance(table):
 @query("profile_filter", f"SELECT key FROM {MENTIONS} GROUP BY key HAVING count(*) >= 3 AND bool_or(price > 100000 AND status = 'F') AND count(DISTINCT prio) > 1")
 def profile_filter(table):
     """Profiles with mentions enough and a candidate above the score."""
-    t = mentions(table).groupBy("key").agg(n.alias("n"), F.collect_list(F.struct("price", "status")).alias("candidates"), F.countDistinct("prio").alias("forms"))
+    t = mentions(table).groupBy("key").agg(n().alias("n"), F.collect_list(F.struct("price", "status")).alias("candidates"), F.countDistinct("prio").alias("forms"))
     return t.where((c("n") >= 3) & F.exists("candidates", lambda k: (k["price"] > 100000) & (k["status"] == "F")) & (c("forms") > 1)).select("key")
 
 
@@ -115,7 +116,7 @@ def hidden_bridges(table):
 @query("role_year_filter", f"SELECT key, n, y0, y1 FROM (SELECT key, count(*) AS n, min(y) AS y0, max(y) AS y1 FROM {MENTIONS} WHERE prio IN ('1-URGENT', '2-HIGH') GROUP BY key) WHERE coalesce(y0, 0) <= 1996 AND coalesce(y1, 9999) >= 1994 ORDER BY n DESC, key LIMIT 80")
 def role_year_filter(table):
     """The 80 most named with one of the roles in a span of years; open bounds pass."""
-    t = mentions(table).where(c("prio").isin("1-URGENT", "2-HIGH")).groupBy("key").agg(n.alias("n"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    t = mentions(table).where(c("prio").isin("1-URGENT", "2-HIGH")).groupBy("key").agg(n().alias("n"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     return t.where((F.coalesce("y0", lit(0)) <= 1996) & (F.coalesce("y1", lit(9999)) >= 1994)).orderBy(c("n").desc(), "key").limit(80)
 
 
@@ -123,7 +124,7 @@ def role_year_filter(table):
 @query("in_span_resolve", f"WITH p AS (SELECT key, prio, min(y) AS y0, max(y) AS y1, count(*) AS n FROM {MENTIONS} GROUP BY 1, 2) SELECT pid, prio, inside FROM (SELECT pid, prio, y0 <= 1995 AND y1 >= 1995 AS inside, row_number() OVER (PARTITION BY pid ORDER BY (y0 <= 1995 AND y1 >= 1995) DESC, n DESC, prio) AS k FROM {PERSONS} JOIN p ON pid = key) WHERE k = 1")
 def in_span_resolve(table):
     """Of a person's records those whose span holds the year, else all; of these the one named most."""
-    p = mentions(table).groupBy("key", "prio").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), n.alias("n"))
+    p = mentions(table).groupBy("key", "prio").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), n().alias("n"))
     best = p.withColumn("inside", (c("y0") <= 1995) & (c("y1") >= 1995)).groupBy("key").agg(F.max(F.struct("inside", "n", (-F.ascii(F.substring("prio", 1, 1))).alias("first"), "prio")).alias("b"))
     return persons(table).join(best, c("pid") == c("key")).select("pid", c("b.prio").alias("prio"), c("b.inside").alias("inside"))
 
@@ -133,7 +134,7 @@ def coappearance(table):
     """The 20 others met in most event groups: groups first, then one semi-join."""
     li = table("lineitem").select("l_orderkey", "l_suppkey").distinct()
     mine = li.where("l_suppkey = 3").select("l_orderkey")
-    return li.where("l_suppkey <> 3").join(mine, "l_orderkey", "left_semi").groupBy(c("l_suppkey").alias("other")).agg(n.alias("groups")).orderBy(c("groups").desc(), "other").limit(20)
+    return li.where("l_suppkey <> 3").join(mine, "l_orderkey", "left_semi").groupBy(c("l_suppkey").alias("other")).agg(n().alias("groups")).orderBy(c("groups").desc(), "other").limit(20)
 
 
 @query("relation_lookup", f"WITH r AS (SELECT key AS a, id % 50 AS b, CASE status WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS rank FROM {MENTIONS}), u AS (SELECT a, b, rank FROM r UNION ALL SELECT b, a, rank + 10 FROM r) SELECT a, b, min(rank) AS role FROM u WHERE a <> b AND a IN (SELECT pid FROM {PERSONS}) AND b IN (SELECT pid FROM {PERSONS}) GROUP BY a, b")
@@ -162,7 +163,7 @@ def coref_depth(table):
 @query("role_features", "SELECT o_orderkey, count(DISTINCT l_suppkey) AS persons, count(*) AS slots, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS sellers FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
 def role_features(table):
     """Roles of an event joined to their spans."""
-    spans = table("lineitem").groupBy("l_orderkey").agg(F.countDistinct("l_suppkey").alias("persons"), n.alias("slots"), F.sum(F.when(c("l_returnflag") == "R", 1).otherwise(0)).alias("sellers"))
+    spans = table("lineitem").groupBy("l_orderkey").agg(F.countDistinct("l_suppkey").alias("persons"), n().alias("slots"), F.sum(F.when(c("l_returnflag") == "R", 1).otherwise(0)).alias("sellers"))
     return table("orders").select("o_orderkey").join(spans, c("o_orderkey") == c("l_orderkey")).drop("l_orderkey")
 
 
@@ -202,8 +203,8 @@ def morans_i(table):
     mean = F.broadcast(p.agg(F.avg("v").alias("mean")))  # one row
     z = p.crossJoin(mean).select("id", (c("v") - c("mean")).alias("z"))
     pairs = space.nearest(p, 8, 64.0).join(z.select(c("id").alias("a"), c("z").alias("za")), "a").join(z.select(c("id").alias("b"), c("z").alias("zb")), "b")
-    w = pairs.agg(F.sum(c("za") * c("zb")).alias("cross_"), n.alias("links"))
-    s = z.agg(F.sum(c("z") * c("z")).alias("squares"), n.alias("n"))
+    w = pairs.agg(F.sum(c("za") * c("zb")).alias("cross_"), n().alias("links"))
+    s = z.agg(F.sum(c("z") * c("z")).alias("squares"), n().alias("n"))
     return w.crossJoin(F.broadcast(s)).select(F.round(c("n") / c("links") * c("cross_") / c("squares"), 6).alias("moran"), "links")
 
 
@@ -213,7 +214,7 @@ RADIUS = f"SELECT a.id AS a, b.id AS b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y)
 @query("radius_join", f"SELECT a, count(*) AS near FROM ({RADIUS}) GROUP BY a")
 def radius_join(table):
     """Points within a radius, by grid cells."""
-    return space.within(points(table), points(table), 50.0).groupBy("a").agg(n.alias("near"))
+    return space.within(points(table), points(table), 50.0).groupBy("a").agg(n().alias("near"))
 
 
 @query("idw_smoothing", f"SELECT a, round(sum(v / (d2 + 1e-8)) / sum(1 / (d2 + 1e-8)), 4) AS smooth FROM (SELECT a, d2 + 1 AS d2, v FROM ({RADIUS})) GROUP BY a")
@@ -226,7 +227,7 @@ def idw_smoothing(table):
 @query("record_merge", f"SELECT pid, name, m.n, s.x FROM {PERSONS} LEFT JOIN (SELECT key, count(*) AS n FROM {MENTIONS} GROUP BY key) m ON m.key = pid LEFT JOIN (SELECT s_suppkey, s_name AS x FROM supplier) s ON s.s_suppkey = pid")
 def record_merge(table):
     """Records of several sources under one id."""
-    m = mentions(table).groupBy("key").agg(n.alias("n"))
+    m = mentions(table).groupBy("key").agg(n().alias("n"))
     s = table("supplier").select("s_suppkey", c("s_name").alias("x"))
     return persons(table).join(m, c("pid") == c("key"), "left").join(s, c("pid") == c("s_suppkey"), "left").select("pid", "name", "n", "x")
 
@@ -236,13 +237,13 @@ def record_merge(table):
 def split_by_label(table):
     """A person cut along labels, each mention once."""
     label = F.when(c("y") < 1995, "E").when(c("y") < 1998, "F").otherwise("L")
-    return mentions(table).groupBy("key", label.alias("label")).agg(n.alias("n"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    return mentions(table).groupBy("key", label.alias("label")).agg(n().alias("n"), F.min("y").alias("y0"), F.max("y").alias("y1"))
 
 
 @query("feature_vector", "SELECT l_orderkey, count(*) AS spans, count(DISTINCT l_suppkey) AS persons, round(100.0 * sum(l_quantity) / greatest(sum(l_quantity) + count(*), 1), 6) AS rate, round(avg(l_discount), 6) AS mean, round(stddev_pop(l_discount), 6) AS sd, round(avg(CASE WHEN l_discount < 0.05 THEN 1.0 ELSE 0.0 END), 6) AS low, max(l_extendedprice) AS price, CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS BIGINT) AS r, CAST(count(*) FILTER (WHERE l_returnflag = 'A') AS BIGINT) AS a FROM lineitem GROUP BY 1")
 def feature_vector(table):
     """Features of a document from its spans, in one aggregation."""
-    q, k, d = F.sum("l_quantity"), n, c("l_discount")
+    q, k, d = F.sum("l_quantity"), n(), c("l_discount")
     return table("lineitem").groupBy("l_orderkey").agg(k.alias("spans"), F.countDistinct("l_suppkey").alias("persons"), F.round(100.0 * q / F.greatest(q + k, lit(1)), 6).alias("rate"), F.round(F.avg(d), 6).alias("mean"), F.round(F.stddev_pop(d), 6).alias("sd"), F.round(F.avg(F.when(d < 0.05, 1.0).otherwise(0.0)), 6).alias("low"), F.max("l_extendedprice").alias("price"), F.count_if(c("l_returnflag") == "R").alias("r"), F.count_if(c("l_returnflag") == "A").alias("a"))
 
 
@@ -256,14 +257,14 @@ def document_price(table):
 @query("family_index", f"WITH t AS (SELECT place, occ, count(*) AS k FROM {PERSONS} GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY k DESC, occ) AS i FROM t) SELECT place, CAST(sum(k) AS BIGINT) AS persons, string_agg(occ, '|' ORDER BY i) FILTER (WHERE i <= 4) AS top FROM r GROUP BY place HAVING sum(k) >= 2")
 def family_index(table):
     """Families with their four most frequent occupations."""
-    t = persons(table).groupBy("place", "occ").agg(n.alias("k")).groupBy("place").agg(F.sum("k").alias("persons"), F.array_sort(F.collect_list(F.struct((-c("k")).alias("k"), "occ"))).alias("all")).where("persons >= 2")
+    t = persons(table).groupBy("place", "occ").agg(n().alias("k")).groupBy("place").agg(F.sum("k").alias("persons"), F.array_sort(F.collect_list(F.struct((-c("k")).alias("k"), "occ"))).alias("all")).where("persons >= 2")
     return t.select("place", "persons", F.array_join(F.slice("all", 1, 4)["occ"], "|").alias("top"))
 
 
 @query("group_label", f"SELECT place, occ AS label, n, size FROM (SELECT place, occ, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY place) AS BIGINT) AS size, row_number() OVER (PARTITION BY place ORDER BY count(*) DESC, occ) AS k FROM {PERSONS} GROUP BY 1, 2) WHERE k = 1")
 def group_label(table):
     """The most common key of a group names it; ties go to the first in order."""
-    t = persons(table).groupBy("place", "occ").agg(n.alias("n")).groupBy("place").agg(F.min(F.struct((-c("n")).alias("m"), "occ")).alias("b"), F.sum("n").alias("size"))
+    t = persons(table).groupBy("place", "occ").agg(n().alias("n")).groupBy("place").agg(F.min(F.struct((-c("n")).alias("m"), "occ")).alias("b"), F.sum("n").alias("size"))
     return t.select("place", c("b.occ").alias("label"), (-c("b.m")).alias("n"), "size")
 
 
@@ -277,21 +278,21 @@ def optional_relations(table):
 @query("booking_profiles", f"SELECT key, count(*) AS n, string_agg(DISTINCT CAST(y AS VARCHAR), '|' ORDER BY CAST(y AS VARCHAR)) AS years, min(id) AS first_id, count(DISTINCT prio) AS forms FROM {MENTIONS} GROUP BY key")
 def booking_profiles(table):
     """Profiles of bookings by name."""
-    return mentions(table).groupBy("key").agg(n.alias("n"), F.array_join(F.transform(F.array_sort(F.collect_set("y")), lambda y: y.cast("string")), "|").alias("years"), F.min("id").alias("first_id"), F.countDistinct("prio").alias("forms"))
+    return mentions(table).groupBy("key").agg(n().alias("n"), F.array_join(F.transform(F.array_sort(F.collect_set("y")), lambda y: y.cast("string")), "|").alias("years"), F.min("id").alias("first_id"), F.countDistinct("prio").alias("forms"))
 
 
 @query("spaced_sample", f"SELECT key, id FROM (SELECT key, id, row_number() OVER (PARTITION BY key ORDER BY y, id) - 1 AS i, count(*) OVER (PARTITION BY key) AS m FROM {MENTIONS}) WHERE i % greatest(1, m // 4) = 0 AND i // greatest(1, m // 4) < 4")
 def spaced_sample(table):
     """Four bookings of a profile, evenly spaced."""
     by = W.partitionBy("key")
-    t = mentions(table).select("key", "id", (F.row_number().over(by.orderBy("y", "id")) - 1).alias("i"), F.greatest(lit(1), F.floor(n.over(by) / 4)).alias("step"))
+    t = mentions(table).select("key", "id", (F.row_number().over(by.orderBy("y", "id")) - 1).alias("i"), F.greatest(lit(1), F.floor(n().over(by) / 4)).alias("step"))
     return t.where((c("i") % c("step") == 0) & (F.floor(c("i") / c("step")) < 4)).select("key", "id")
 
 
 @query("severity_counts", f"SELECT prio AS kind, status AS side, count(*) AS n, max(CAST(left(prio, 1) AS INTEGER)) AS severity FROM {MENTIONS} GROUP BY 1, 2")
 def severity_counts(table):
     """Findings by kind and side with the worst severity."""
-    return mentions(table).groupBy(c("prio").alias("kind"), c("status").alias("side")).agg(n.alias("n"), F.max(F.substring("prio", 1, 1).cast("int")).alias("severity"))
+    return mentions(table).groupBy(c("prio").alias("kind"), c("status").alias("side")).agg(n().alias("n"), F.max(F.substring("prio", 1, 1).cast("int")).alias("severity"))
 
 
 @query("position_roles", f"SELECT occ, name, min(y) AS y0, max(y) AS y1, max(CASE WHEN status <> 'P' THEN status END) AS guild FROM (SELECT occ, substr(name, 1, 15) AS name, y, status FROM {PERSONS} JOIN {MENTIONS} ON pid = key) GROUP BY 1, 2")
@@ -311,14 +312,14 @@ def merge_duplicates(table):
 @query("street_record", f"WITH k AS (SELECT key, prio, count(*) AS k FROM {MENTIONS} GROUP BY 1, 2) SELECT key, string_agg(prio || '=' || k, '|' ORDER BY k DESC, prio) AS roles, CAST(sum(k) AS BIGINT) AS n FROM k GROUP BY key")
 def street_record(table):
     """Counted roles of a street's person, most frequent first."""
-    k = mentions(table).groupBy("key", "prio").agg(n.alias("k")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-c("k")).alias("m"), "prio"))).alias("all"), F.sum("k").alias("n"))
+    k = mentions(table).groupBy("key", "prio").agg(n().alias("k")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-c("k")).alias("m"), "prio"))).alias("all"), F.sum("k").alias("n"))
     return k.select("key", F.array_join(F.transform("all", lambda x: F.concat(x["prio"], lit("="), (-x["m"]).cast("string"))), "|").alias("roles"), "n")
 
 
 @query("first_coordinates", "SELECT s_nationkey, count(*) AS n, arg_min(s_acctbal, s_suppkey) AS x FROM supplier GROUP BY 1")
 def first_coordinates(table):
     """Counts of a dossier with the coordinates of its first row."""
-    return table("supplier").groupBy("s_nationkey").agg(n.alias("n"), F.min_by("s_acctbal", "s_suppkey").alias("x"))
+    return table("supplier").groupBy("s_nationkey").agg(n().alias("n"), F.min_by("s_acctbal", "s_suppkey").alias("x"))
 
 
 @query("longest_date", f"SELECT key, d FROM (SELECT key, d, row_number() OVER (PARTITION BY key ORDER BY length(d) DESC, d) AS k FROM (SELECT key, CASE WHEN id % 2 = 0 THEN CAST(y AS VARCHAR) ELSE CAST(y AS VARCHAR) || '-0' || (id % 9 + 1) END AS d FROM {MENTIONS})) WHERE k = 1")
@@ -361,7 +362,7 @@ def rate_interpolation(table):
 def sliding_moves(table):
     """Moves of the last years and so far."""
     by = W.partitionBy("prio").orderBy("y")
-    t = mentions(table).groupBy("prio", "y").agg(n.alias("n"))
+    t = mentions(table).groupBy("prio", "y").agg(n().alias("n"))
     return t.select("prio", "y", F.sum("n").over(by.rangeBetween(-3, 0)).alias("recent"), F.sum("n").over(by.rangeBetween(W.unboundedPreceding, 0)).alias("so_far"))
 
 
@@ -369,7 +370,7 @@ def sliding_moves(table):
 def processing_order(table):
     """Entries by first year and death, without one last: places from counts of the few (year, death) pairs."""
     t = mentions(table).groupBy("key").agg(F.min("y").alias("y0"), F.coalesce(F.min(F.when(c("status") == "F", c("y"))), lit(9999)).alias("d"))
-    groups = t.groupBy("y0", "d").agg(n.alias("m"))  # a row a pair of years
+    groups = t.groupBy("y0", "d").agg(n().alias("m"))  # a row a pair of years
     starts = groups.select("y0", "d", F.coalesce(F.sum("m").over(W.orderBy("y0", "d").rowsBetween(W.unboundedPreceding, -1)), lit(0)).alias("start"))
     return t.join(F.broadcast(starts), ["y0", "d"]).select("key", (c("start") + F.row_number().over(W.partitionBy("y0", "d").orderBy("key"))).alias("place"))
 
@@ -509,7 +510,7 @@ def first_with_source(table):
 @query("triage_rule", f"SELECT key, CASE WHEN n = 1 THEN 'skip' WHEN forms = 1 THEN 'merge' WHEN y1 - y0 > 6 THEN 'split' ELSE 'look' END AS advice FROM (SELECT key, count(*) AS n, count(DISTINCT prio) AS forms, min(y) AS y0, max(y) AS y1 FROM {MENTIONS} GROUP BY key)")
 def triage_rule(table):
     """Advice by ordered rules."""
-    t = mentions(table).groupBy("key").agg(n.alias("n"), F.countDistinct("prio").alias("forms"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    t = mentions(table).groupBy("key").agg(n().alias("n"), F.countDistinct("prio").alias("forms"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     return t.select("key", F.when(c("n") == 1, "skip").when(c("forms") == 1, "merge").when(c("y1") - c("y0") > 6, "split").otherwise("look").alias("advice"))
 
 
@@ -580,7 +581,7 @@ def life_check(table):
 def admission_flags(table):
     """Components of two or more with what speaks against them."""
     born = c("pid") % 40
-    t = persons(table).groupBy("place").agg(n.alias("members"), F.when(F.count_if(c("occ") == "FURNITURE") > 1, "multi_furniture").alias("m"), F.when(F.max(born) - F.min(born) > 15, "birth_spread").alias("b")).where("members >= 2")
+    t = persons(table).groupBy("place").agg(n().alias("members"), F.when(F.count_if(c("occ") == "FURNITURE") > 1, "multi_furniture").alias("m"), F.when(F.max(born) - F.min(born) > 15, "birth_spread").alias("b")).where("members >= 2")
     return t.select("place", "members", F.array_join(F.array_compact(F.array("m", "b")), "|").alias("flags"))
 
 
@@ -636,5 +637,5 @@ def identity_point(table):
 @query("person_point", f"SELECT p.pid, p.name, m.n FROM {PERSONS} p JOIN (SELECT key, count(*) AS n FROM {MENTIONS} WHERE key = 19 GROUP BY key) m ON m.key = p.pid")
 def person_point(table):
     """A register person with the count of mentions."""
-    m = mentions(table).where("key = 19").groupBy("key").agg(n.alias("n"))
+    m = mentions(table).where("key = 19").groupBy("key").agg(n().alias("n"))
     return persons(table).where("pid = 19").join(m, c("pid") == c("key")).select("pid", "name", "n")

@@ -1,6 +1,8 @@
 """Every query with an SQL twin gives its rows on the smallest tables."""
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -27,3 +29,10 @@ def test_equals_sql(spark, con, name):
     got = con.sql(ORACLES[name])
     at = [got.columns.index(c) for c in names]
     assert ours == sorted(tuple(text(r[i]) for i in at) for r in got.fetchall())
+
+
+def test_imports_without_a_session():
+    """The entry module builds no column while it is imported."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
