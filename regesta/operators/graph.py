@@ -6,9 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _own: list[str] = []
@@ -51,31 +52,45 @@ def component_labels(edges: DataFrame) -> DataFrame:
 
 
 def guarded_clusters(nodes: DataFrame, pairs: DataFrame, cap: int = 80) -> DataFrame:
-    """node, cluster: pairs (a, b, seq) are merged in the order of seq unless the joint span of years (lo, hi) would pass cap.
+    """node, cluster (its smallest node): pairs (a, b, seq) are merged in the order of seq, a, b unless the joint span of
+    years (lo, hi) would pass cap. nodes: node, lo, hi; an unknown bound, or a node without a row, refuses nothing.
 
-    The guard looks at the groups to be joined alone, so components of the unguarded graph are independent: each is
-    folded in one task, in its pairs' order. nodes: node, lo, hi.
+    The groups grow in rounds of joins and give what merging pair by pair gives. Spans only grow, so a pair that is refused
+    now is refused for good and goes. A pair that is first at both its groups finds them unchanged at its turn and merges at
+    once; so do the next pairs of the larger group, as long as each is first at its other group, comes before every further
+    pair of the groups just taken in, and keeps the span within cap. The merges are a forest, labelled at the end.
     """
-    labels = component_labels(pairs)
-    inside = pairs.join(labels, F.col("a") == F.col("node")).select(F.col("label").alias("of_pair"), "a", "b", "seq")
-    spans = nodes.join(labels, "node").select(F.col("label").alias("of_node"), "node", "lo", "hi")
-
-    def fold(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        group = {n: [n, lo, hi] for n, lo, hi in zip(right["node"], right["lo"], right["hi"])}
-        member = {n: [n] for n in group}
-        root = {n: n for n in group}
-        for a, b in left.sort_values(["seq", "a", "b"])[["a", "b"]].itertuples(index=False):
-            x, y = root[a], root[b]
-            if x == y:
-                continue
-            lo, hi = min(group[x][1], group[y][1]), max(group[x][2], group[y][2])
-            if hi - lo > cap:
-                continue
-            keep, gone = min(x, y), max(x, y)
-            group[keep] = [keep, lo, hi]
-            for n in member.pop(gone):
-                root[n] = keep
-                member[keep].append(n)
-        return pd.DataFrame({"node": list(root), "cluster": list(root.values())})
-
-    return inside.groupBy("of_pair").cogroup(spans.groupBy("of_node")).applyInPandas(fold, "node long, cluster long")
+    both = W.partitionBy("x")
+    order = F.struct("seq", "a", "b")
+    span = {e: nodes.groupBy(F.col("node").alias(e)).agg(F.min("lo").alias(f"{e}lo"), F.max("hi").alias(f"{e}hi")) for e in "xy"}
+    ends = pairs.where("a <> b").select(F.col("a").alias("x"), F.col("b").alias("y"), order.alias("at"))
+    ends = ends.unionByName(ends.select(F.col("y").alias("x"), F.col("x").alias("y"), "at"))
+    edges = ends.join(span["x"], "x", "left").join(span["y"], "y", "left")
+    members, forest = saved(ends.select(F.col("x").alias("node")).distinct()), []
+    while True:
+        joint = F.greatest("xhi", "yhi") - F.least("xlo", "ylo")
+        open_ = edges.where("x <> y").where(~F.coalesce(joint > cap, F.lit(False)))
+        edges = saved(open_.groupBy("x", "y").agg(F.min("at").alias("at"), *(F.first(k).alias(k) for k in ["xlo", "xhi", "ylo", "yhi"])))
+        if edges.isEmpty():
+            break
+        by = both.orderBy("at")
+        ranked = edges.withColumn("rank", F.row_number().over(by)).withColumn("then", F.lead("at").over(by)).withColumn("size", F.count(F.lit(1)).over(both))
+        first = ranked.where("rank = 1").select(F.col("x").alias("leaf"), F.col("y").alias("wants"), F.col("then").alias("after"), F.col("size").alias("leaf_size"))
+        tied = ranked.join(first, (F.col("y") == F.col("leaf")) & (F.col("x") == F.col("wants")), "left")
+        before, upto = by.rowsBetween(W.unboundedPreceding, -1), by.rowsBetween(W.unboundedPreceding, 0)
+        wide = F.greatest("xhi", F.max("yhi").over(upto)) - F.least("xlo", F.min("ylo").over(upto))
+        leads = (F.col("rank") > 1) | (F.struct("size", "x") > F.struct("leaf_size", "leaf"))
+        late = F.coalesce(F.col("at") > F.min("after").over(before), F.lit(False))
+        stops = F.col("leaf").isNull() | ~leads | late | F.coalesce(wide > cap, F.lit(False))
+        taken = saved(tied.withColumn("stops", stops).withColumn("stopped", F.max("stops").over(upto)).where("not stopped").select("x", "y", "xlo", "xhi", "ylo", "yhi"))
+        forest.append(taken.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        whole = taken.groupBy("x").agg(F.least(F.first("xlo"), F.min("ylo")).alias("lo"), F.greatest(F.first("xhi"), F.max("yhi")).alias("hi"))
+        into = saved(whole.select(F.col("x").alias("old"), F.col("x").alias("new"), "lo", "hi").unionByName(taken.join(whole, "x").select(F.col("y").alias("old"), F.col("x").alias("new"), "lo", "hi")))
+        for e in "xy":
+            now = into.select(F.col("old").alias(e), "new", F.col("lo").alias("nlo"), F.col("hi").alias("nhi"))
+            moved = F.col("new").isNotNull()
+            edges = edges.join(now, e, "left").withColumns({e: F.coalesce("new", e), f"{e}lo": F.when(moved, F.col("nlo")).otherwise(F.col(f"{e}lo")), f"{e}hi": F.when(moved, F.col("nhi")).otherwise(F.col(f"{e}hi"))}).drop("new", "nlo", "nhi")
+    if not forest:
+        return members.select("node", F.col("node").alias("cluster"))
+    labels = component_labels(reduce(DataFrame.unionByName, forest))
+    return members.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("cluster"))

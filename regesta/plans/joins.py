@@ -86,21 +86,12 @@ def set_equality_join(table):
 
 @query(
     "transitive_link_best",
-    """WITH a AS (SELECT DISTINCT l_orderkey AS x, l_partkey AS via, l_quantity AS amb FROM lineitem WHERE l_returnflag = 'A' AND l_quantity < 6), b AS (SELECT DISTINCT l_suppkey AS z, l_partkey AS via FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 6)
+    """WITH a AS (SELECT DISTINCT l_orderkey AS x, l_partkey AS via, l_quantity AS amb FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT DISTINCT l_suppkey AS z, l_partkey AS via FROM lineitem WHERE l_returnflag = 'R')
        SELECT x, z, via, amb FROM (SELECT x, z, via, amb, row_number() OVER (PARTITION BY x, z ORDER BY amb, via) AS k FROM a JOIN b USING (via)) WHERE k = 1""",
 )
 def transitive_link_best(table):
     """Links over a shared id, the least ambiguous a pair."""
-    return best_links(table("lineitem").where("l_quantity < 6"))
-
-
-@query("transitive_link_best_whole")
-def transitive_link_best_whole(table):
-    """The same over all rows."""
-    return best_links(table("lineitem"))
-
-
-def best_links(li):
+    li = table("lineitem")
     a = li.where("l_returnflag = 'A'").select(c("l_orderkey").alias("x"), c("l_partkey").alias("via"), c("l_quantity").alias("amb")).distinct()
     b = li.where("l_returnflag = 'R'").select(c("l_suppkey").alias("z"), c("l_partkey").alias("via")).distinct()
     return a.join(b, "via").groupBy("x", "z").agg(F.min(F.struct("amb", "via")).alias("m")).select("x", "z", "m.via", "m.amb")
