@@ -11,7 +11,8 @@ What is kept between words is a tree for each word met twice: a node is the outc
 that the agenda meets after the last of them; its children are the outcomes of one skip more. An occurrence hashes the
 candidates of a node with its own draw and goes on at the child of the first one skipped. So the tree only saves runs of
 the agenda: every draw decides for itself, and outcomes not in the tree are worked out. Its size is bounded; a full tree
-is given up.
+is given up. That a word was met once is a mark at its hash; a mark that another word set only plants a tree early. Beside
+the trees a task holds the words of a slice of texts, of a mebibyte or one text.
 
 Characters outside the vocabulary, and the blank sign itself, become byte pieces, so decoding gives every text back.
 
@@ -40,8 +41,10 @@ from .common import picked
 
 ALPHA, SEED, WIDTH = 0.1, 9, 48
 BLOCK = 1 << 14  # words hashed at a time: their candidates stay in the processor's cache
-#: Bounds of the kept trees: words, nodes, candidates and ids.
-WORDS, NODES, CANDIDATES, IDS = 900_000, 1_800_000, 12_000_000, 8_000_000
+#: Bounds of the kept trees: words, nodes, candidates and ids; marks of words met once.
+WORDS, NODES, CANDIDATES, IDS, MARKS = 300_000, 700_000, 5_000_000, 2_500_000, 1 << 22
+#: Texts are encoded in slices of so many rows and bytes (one text at least), words in runs of so many.
+ROWS, BYTES, RUN = 1024, 1 << 20, 1 << 16
 SPACE = "▁"
 SPLIT = re.compile(" *[^ ]+| +")
 NONE = np.int64(-1)
@@ -242,7 +245,8 @@ class Codec:
 
     # -- trees of outcomes -----------------------------------------------------------------------------------------
     def reset(self) -> None:
-        self.root: dict[str, int] = {}  # -1: met once
+        self.root: dict[str, int] = {}  # -1: can't be kept
+        self.met, self.n_met = bytearray(MARKS), 0
         self.n_nodes = self.n_cand = self.n_ids = 0
         self.word_of: dict[int, str] = {}
 
@@ -289,23 +293,26 @@ class Codec:
         """(ids of all words, how many each has); a word is written without the blank before it."""
         if self.n_nodes > 0.9 * NODES or self.n_cand > 0.9 * CANDIDATES or self.n_ids > 0.9 * IDS:
             self.reset()
-        if len(self.root) > WORDS:  # words met once go first
-            self.root = {w: k for w, k in self.root.items() if k >= 0}
-            if len(self.root) > 0.8 * WORDS:
-                self.reset()
-        root, get = self.root, self.root.get
+        if len(self.root) > WORDS:
+            self.reset()
+        if self.n_met > MARKS // 4:
+            self.met, self.n_met = bytearray(MARKS), 0
+        root, get, met = self.root, self.root.get, self.met
         node = np.fromiter(map(get, words, repeat(-2)), np.int32, len(words))
         twice = {}
         for i in np.flatnonzero(node < 0).tolist():
             w = words[i]
-            if w not in root:
-                root[w] = -1  # met once: cut by itself
-            elif root[w] == -1 and len(w) < WIDTH:
-                twice[w] = -1
+            if len(w) < WIDTH and w not in root and w not in twice:
+                mark = hash(w) & (MARKS - 1)
+                if met[mark]:
+                    twice[w] = -1
+                else:  # met once: cut by itself
+                    met[mark] = 1
+                    self.n_met += 1
         if twice:
             root.update(zip(twice, self.grow(list(twice)).tolist()))
             fresh = np.flatnonzero(node < 0)
-            node[fresh] = [root[words[i]] for i in fresh.tolist()]
+            node[fresh] = [get(words[i], -1) for i in fresh.tolist()]
         self.walk(node, draws)
         lone = np.flatnonzero(node < 0)
         found = self.direct([SPACE + words[i].replace(" ", SPACE) for i in lone.tolist()], draws[lone])
@@ -366,7 +373,9 @@ class Codec:
     def encode(self, docs: list[tuple[int | None, str]]) -> list[np.ndarray]:
         split = [[] if SPACE in t else self.words(t) for _, t in docs]
         counts = [len(x) for x in split]
-        ids, lengths = self.cut([w for x in split for w in x], self.draws([doc for doc, _ in docs], counts))
+        flat, draws = [w for x in split for w in x], self.draws([doc for doc, _ in docs], counts)
+        runs = [self.cut(flat[k : k + RUN], draws[k : k + RUN]) for k in range(0, max(len(flat), 1), RUN)]
+        ids, lengths = (np.concatenate(x) for x in zip(*runs))
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *counts])].tolist()
         return [self.around_sign(doc, text) if SPACE in text else ids[a:b] for (doc, text), a, b in zip(docs, ends, ends[1:])]
 
@@ -426,6 +435,16 @@ def classes(lengths: np.ndarray, many: int = 4096) -> Iterator[np.ndarray]:
         at = stop
 
 
+def slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, how many) of runs of at most ROWS rows and BYTES bytes, one row at least."""
+    ends, at = np.cumsum(sizes, dtype=np.int64), 0
+    while at < len(sizes):
+        begin = ends[at] - sizes[at]
+        stop = min(at + ROWS, max(at + 1, int(np.searchsorted(ends, begin + BYTES, "right"))))
+        yield at, stop - at
+        at = stop
+
+
 _codecs: dict[tuple, Codec] = {}
 
 
@@ -445,8 +464,8 @@ def encoded(docs: DataFrame, path: str, alpha: float = ALPHA, seed: int = SEED,
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path, alpha, seed)
         for whole in batches:
-            for k in range(0, whole.num_rows, 1024):
-                keys, texts = whole.column(0).slice(k, 1024).to_pylist(), whole.column(1).slice(k, 1024)
+            for k, n in slices(pc.binary_length(whole.column(1)).to_numpy(zero_copy_only=False)):
+                keys, texts = whole.column(0).slice(k, n).to_pylist(), whole.column(1).slice(k, n)
                 ids = tool.encode(list(zip(keys, texts.to_pylist())))
                 back = tool.decode_bytes(ids)
                 cols = [pa.array(keys, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())]
