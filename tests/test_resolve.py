@@ -52,6 +52,23 @@ def test_across_dossiers(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1, 6: 6}
 
 
+def operators_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dossiers_are_folded_many_in_a_pass(spark):
+    """A task folds its dossiers over its batches, not by a call a dossier; dossiers may go over several batches."""
+    rows = [(d, n, y) for d in range(40) for n, y in [("Anna", 1500), ("Anna Clor", 1510), ("Hans", 1500), ("Hans Gysler Jakob", 1590), *[(f"x{d} y{k}", None) for k in range(d % 7)]]] + [(None, "Anna", 1), (None, "Anna Clor", None)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        df = resolve.merged_names(spark.createDataFrame(rows, "dossier long, name string, year int"))
+        assert "FlatMapGroups" not in operators_of(df)
+        got = {(r.dossier, r.name): r.merged for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(d, n): "Anna Clor" if n == "Anna" else n for d, n, _ in rows}
+
+
 def test_nearest_equals_brute_force(spark):
     rng = random.Random(1)
     pts = [(i, rng.random() * 100, rng.random() * 10) for i in range(60)] + [(100, 1e4, 1e4)]
