@@ -45,6 +45,34 @@ def test_runs_with_bare_names(spark):
     assert runs(spark, [(1, 1500, False), (2, 1514, True), (3, 1520, False)])[2] == "f1"
 
 
+def test_runs_equal_plain_loops_and_go_in_one_pass(spark):
+    rng = random.Random(3)
+    for life, silence in [(80, 15), (10, 40), (900, 60)]:
+        rows = sorted((rng.randrange(1000), rng.random() < 0.5) for _ in range(150))
+        years, bare = [y for y, _ in rows], [b for _, b in rows]
+        got, anchors, start = resolve.attach(years, bare, life, silence), [], None
+        for y, b in rows:
+            if not b and (start is None or y - start > life):
+                start = y
+                anchors.append([])
+            if not b:
+                anchors[-1].append(y)
+        span = [[v[0], v[-1]] for v in anchors]
+        for (y, b), run in zip(rows, got):
+            if b:
+                fit = [(min(abs(y - a) for a in v), k) for k, v in enumerate(anchors) if max(span[k][1], y) - min(span[k][0], y) <= life]
+                fit = [x for x in fit if x[0] < silence]
+                assert run.startswith("f") == bool(fit)
+                if fit:
+                    k = min(fit)[1]
+                    span[k] = [min(span[k][0], y), max(span[k][1], y)]
+            else:
+                k = next(k for k, v in enumerate(anchors) if v[0] <= y <= v[-1])
+            assert not run.startswith("f") or run == f"f{k + 1}"
+    rows = spark.createDataFrame([("k", 1, 1500, False)], "key string, id int, year int, bare boolean")
+    assert "FlatMapGroups" not in operators_of(resolve.attached_runs(rows, ["key"]))
+
+
 def test_across_dossiers(spark):
     schema = "key string, id int, y0 int, y1 int, dead int, living array<int>"
     rows = [("k", 1, 1500, 1520, None, [1500, 1520]), ("k", 2, 1515, 1530, 1530, [1515]), ("k", 3, 1525, 1540, None, [1525, 1540]), ("k", 4, 1510, 1595, None, [1510]), ("k", 5, 1531, 1531, 1531, []), ("m", 6, 1500, 1500, None, [1500])]
