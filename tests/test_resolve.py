@@ -109,6 +109,31 @@ def test_nearest_equals_brute_force(spark):
     assert space.nearest(spark.createDataFrame([(1, 0.0, 0.0)], "id long, x double, y double"), 3, 5.0).count() == 0
 
 
+def test_nearest_and_sums_of_crowds(spark):
+    """Many points at one place, and a crowd far from a few others, make no pairs of points."""
+    rng = random.Random(2)
+    pts = [(i, 5.0, 5.0, 1.0) for i in range(3000)] + [(3000 + i, rng.random(), rng.random(), None if i % 3 else 2.0) for i in range(300)] + [(4000, 1e5, 1e5, None), (4001, None, 1.0, 3.0), (4002, float("nan"), 1.0, 3.0)]
+    df = spark.createDataFrame(pts, "id long, x double, y double, v double")
+    got, pairs = space.nearest(df, 3, 1e6), []
+    real, space.within = space.within, lambda *a: pairs.append(real(*a).count()) or real(*a)
+    try:
+        rows = {(r.a, r["rank"]): r.b for r in space.nearest(df, 3, 1e6).collect()}
+    finally:
+        space.within = real
+    assert max(pairs) < 60_000  # of 3300 * 3300
+    known = [p for p in pts if p[0] < 4001]
+    for a, x, y, _ in known[:3] + known[3000:3040] + known[-1:]:
+        assert [rows[a, k] for k in (1, 2, 3)] == [b for _, b in sorted(((x - p) * (x - p) + (y - q) * (y - q), b) for b, p, q, _ in known if b != a)[:3]]
+    assert len(rows) == 3 * len(known) == got.count()
+    sums = {r.id: r for r in space.around(df, 0.3, 1.0).collect()}
+    assert len(sums) == len(known) and sums[0].near == 3000 and sums[4000].near == 1 and sums[4000].value is None
+    for a, x, y, _ in known[3000:3300:20]:
+        near = [((x - p) * (x - p) + (y - q) * (y - q), v) for _, p, q, v in known]
+        near = [(d, v) for d, v in near if d <= 0.09]
+        assert sums[a].near == len(near) and abs(sums[a].weight - sum(1 / (d + 1) for d, _ in near)) < 1e-9
+        assert abs((sums[a].value or 0) - sum(v / (d + 1) for d, v in near if v is not None)) < 1e-9
+
+
 DOC = """<corpus><document id="d1"><metadata><year>1500</year><dossier_id>x</dossier_id><source>s</source></metadata><text>t</text><spans>
 <span id="p1" start="0" end="9" element="reference" class="per"><text>Anna, wife of Hans</text><span id="h1" start="0" end="4" element="head" class=""><text>Anna</text></span></span>
 <span id="p2" start="10" end="12" element="reference" class="per"><text>she</text></span></spans>
