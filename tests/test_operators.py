@@ -68,6 +68,24 @@ def test_guard_with_hubs_ties_and_unknown_years(spark):
     assert {r.node: r.cluster for r in got.collect()} == root
 
 
+def test_guard_goes_on_in_parts_of_the_order(spark, monkeypatch):
+    """Components with more pairs than a task takes are merged in parts and give the same groups; a long chain in rising
+    order takes no round a pair."""
+    rnd = random.Random(7)
+    nodes = [(i, y, y + 5) for i, y in ((i, rnd.randint(0, 120)) for i in range(120))]
+    pairs = [(rnd.randrange(4) if rnd.random() < 0.5 else rnd.randrange(120), rnd.randrange(120), rnd.randrange(50)) for _ in range(400)]
+    asked = spark.createDataFrame(nodes, "node long, lo int, hi int"), spark.createDataFrame(pairs, "a long, b long, seq long"), 60
+    whole = {tuple(r) for r in graph.guarded_clusters(*asked).collect()}
+    monkeypatch.setattr(graph, "PAIRS", 150)
+    assert {tuple(r) for r in graph.guarded_clusters(*asked).collect()} == whole and len({c for _, c in whole}) < len(whole)
+    monkeypatch.undo()
+    real, calls = graph.saved, []
+    monkeypatch.setattr(graph, "saved", lambda df: calls.append(1) or real(df))
+    chain = spark.range(300).selectExpr("id AS a", "id + 1 AS b", "id AS seq")
+    got = graph.guarded_clusters(spark.range(301).selectExpr("id AS node", "0 AS lo", "0 AS hi"), chain)
+    assert {r.cluster for r in got.collect()} == {0} and got.count() == 301 and len(calls) < 60
+
+
 def test_guard_without_pairs(spark):
     nodes, pairs = spark.createDataFrame([(1, 0, 5)], "node long, lo int, hi int"), "a long, b long, seq long"
     assert graph.guarded_clusters(nodes, spark.createDataFrame([], pairs)).isEmpty()
