@@ -86,6 +86,27 @@ def test_guard_goes_on_in_parts_of_the_order(spark, monkeypatch):
     assert {r.cluster for r in got.collect()} == {0} and got.count() == 301 and len(calls) < 60
 
 
+def test_components_of_chains(spark, monkeypatch):
+    """Each round leaves the edges between trees only."""
+    rnd, sizes, real = random.Random(4), [], graph.saved
+
+    def counted(df):
+        out = real(df)
+        if out.columns == ["a", "b"]:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "saved", counted)
+    names = list(range(2000))
+    rnd.shuffle(names)
+    edges = [(names[i], names[i + 1]) for i in range(1999) if i % 500 != 499] + [(7, 7), (None, 3)]
+    want = {n: min(names[i // 500 * 500 : i // 500 * 500 + 500]) for i, n in enumerate(names)}
+    got = graph.component_labels(spark.createDataFrame(edges, "a long, b long"))
+    assert {r.node: r.label for r in got.collect()} == want
+    assert all(2 * b <= a for a, b in zip(sizes, sizes[1:]))
+    assert graph.component_labels(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
 def test_guard_without_pairs(spark):
     nodes, pairs = spark.createDataFrame([(1, 0, 5)], "node long, lo int, hi int"), "a long, b long, seq long"
     assert graph.guarded_clusters(nodes, spark.createDataFrame([], pairs)).isEmpty()
