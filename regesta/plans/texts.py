@@ -54,8 +54,8 @@ def annotated_documents(table):
     """Annotated XML documents read for their persons: names, roles by span, metadata; pronouns give no row."""
     t = mentions(table)
     path = graph.folder(spark_of(t), "xml")
-    docs = t.select(F.floor(c("id") / 500).alias("file"), F.expr(XML).alias("doc")).groupBy("file").agg(F.concat(lit("<corpus>"), F.concat_ws("", F.collect_list("doc")), lit("</corpus>")).alias("value"))  # 500 documents a file
-    docs.write.partitionBy("file").text(path)
+    docs = t.select(F.floor(c("id") / 20_000).alias("file"), F.expr(XML).alias("doc")).groupBy("file").agg(F.concat(lit("<corpus>"), F.concat_ws("", F.collect_list("doc")), lit("</corpus>")).alias("value"))  # some 10 MB a file, which the parser reads in one task: it takes one root a file
+    docs.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return files.person_rows(files.read_documents(spark_of(t), path))
 
 

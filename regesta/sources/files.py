@@ -40,13 +40,14 @@ def own_spans(docs: DataFrame) -> DataFrame:
 
 def person_rows(docs: DataFrame) -> DataFrame:
     """id, year, dossier, span_id, name, roles (ordered, without repeats) of the references to persons with a name of
-    their own; names of nested references aren't theirs."""
-    spans = own_spans(docs)
-    people = spans.where("class = 'per' and element = 'reference'").select("id", "span_id")
-    heads = spans.where("element = 'head'").groupBy("id", F.col("owner").alias("span_id")).agg(F.min_by("text", "span_id").alias("name"))
-    roles = docs.select("id", F.posexplode("roles").alias("at", "r")).groupBy("id", F.col("r._ref").alias("span_id")).agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("at", F.col("r._role").alias("role")))), lambda x: x["role"])).alias("roles"))
-    named = people.join(heads, ["id", "span_id"]).join(roles, ["id", "span_id"], "left").join(docs.select("id", "year", "dossier"), "id")
-    return named.select("id", "year", "dossier", "span_id", "name", F.array_join(F.coalesce("roles", F.array().cast("array<string>")), "|").alias("roles"))
+    their own; names of nested references aren't theirs. All from the row of a document, which is parsed once."""
+    people = docs.select("id", "year", "dossier", "roles", F.explode("spans").alias("s")).where("s._class = 'per' and s._element = 'reference' and s._id is not null")
+    heads = F.filter("s.span", lambda x: x["_element"] == "head")
+    first = F.array_min(F.transform(F.filter(heads, lambda x: x["_id"].isNotNull()), lambda x: F.struct(x["_id"].alias("at"), x["text"].alias("text"))))
+    mine = F.filter("roles", lambda r: r["_ref"] == F.col("s._id"))
+    roles = F.array_distinct(F.transform(mine, lambda r: r["_role"]))
+    named = people.where(F.coalesce(F.size(heads), F.lit(0)) > 0)
+    return named.select("id", "year", "dossier", F.col("s._id").alias("span_id"), first["text"].alias("name"), F.array_join(F.coalesce(roles, F.array().cast("array<string>")), "|").alias("roles"))
 
 
 def write_outputs(path: str, **frames: DataFrame) -> None:

@@ -148,6 +148,15 @@ def test_annotated_documents(spark, tmp_path):
     assert [tuple(r) for r in files.person_rows(docs).collect()] == [("d1", 1500, "x", "p1", "Anna", "seller|buyer")]
 
 
+def test_persons_of_documents_are_read_once(spark, tmp_path):
+    """One parse, no join: a document met twice gives its rows twice, not four times; a person without a head gives none."""
+    (tmp_path / "a.xml").write_text(DOC)
+    (tmp_path / "b.xml").write_text(DOC.replace('id="h1"', 'id="h3"').replace("</span>\n<span id=\"p2\"", '<span id="h2" start="0" end="1" element="head" class=""><text>Ann</text></span></span>\n<span id="p2"'))
+    df = files.person_rows(files.read_documents(spark, str(tmp_path)))
+    assert operators_of(df).count("Scan xml") == 1 and "Join" not in operators_of(df)
+    assert sorted(tuple(r) for r in df.collect()) == [("d1", 1500, "x", "p1", "Ann", "seller|buyer"), ("d1", 1500, "x", "p1", "Anna", "seller|buyer")]
+
+
 def test_year_ranges(spark):
     rows = [("1500-73", 1500, 1573), ("x 1598-02", 1598, 1602), ("1500-1700", None, None), ("none", None, None), ("1500/1520", 1500, 1520)]
     got = spark.createDataFrame(rows, "t string, a int, b int").select("t", "a", "b", records.year_range(F.col("t")).alias("r")).collect()
