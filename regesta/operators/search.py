@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import saved
+
 K1, B = 1.2, 0.75
 
 
+def terms_of(text: str) -> Column:
+    """The terms of a text in order: lower-case runs of Latin letters and digits."""
+    return F.array_remove(F.split(F.lower(F.col(text)), r"[^a-z0-9à-ÿ]+"), "")
+
+
 def token_index(docs: DataFrame, key: str, text: str) -> DataFrame:
     """id, term, tf, dl (tokens of the document): terms are lower-case runs of Latin letters and digits."""
     terms = F.filter(F.split(F.lower(F.col(text)), r"[^a-z0-9à-ÿ]+"), lambda x: x != "")
@@ -15,10 +22,15 @@ def token_index(docs: DataFrame, key: str, text: str) -> DataFrame:
     return split.select("id", "dl", F.explode("terms").alias("term")).groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def doc_lengths(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id, dl of documents with a term, without a shuffle."""
-    terms = F.filter(F.split(F.lower(F.col(text)), r"[^a-z0-9à-ÿ]+"), lambda x: x != "")
-    return docs.select(F.col(key).alias("id"), F.size(terms).alias("dl")).where("dl > 0")
+def asked_index(docs: DataFrame, key: str, text: str, terms: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The token index for some terms, and id, dl of the documents with any term: from one pass over the texts, which are
+    counted in their rows."""
+    split = docs.select(F.col(key).alias("id"), terms_of(text).alias("terms")).where(F.size("terms") > 0)
+    tf = lambda t: F.size("terms") - F.size(F.array_remove("terms", t))
+    hits = F.array(*[F.struct(F.lit(t).alias("term"), tf(t).cast("long").alias("tf")) for t in sorted(set(terms))])
+    rows = saved(split.select("id", F.size("terms").alias("dl"), hits.alias("hits")))
+    found = rows.select("id", "dl", F.inline("hits")).where("tf > 0")
+    return found.groupBy("id", "term", "dl").agg(F.sum("tf").alias("tf")), rows.select("id", "dl")
 
 
 def bm25(index: DataFrame, terms: list[str], lengths: DataFrame | None = None) -> DataFrame:

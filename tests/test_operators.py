@@ -146,6 +146,13 @@ def test_search_prefix(spark):
     assert ids(search.boolean(index, ["house"], ["garden"])) == []
 
 
+def test_asked_index_equals_the_whole_one(spark):
+    docs = spark.createDataFrame([(1, "The thing, the"), (2, "thing"), (3, None), (4, " ,")], "id long, t string")
+    index, lengths = search.asked_index(docs, "id", "t", ["the", "thing"])
+    rows = lambda df: sorted(tuple(r) for r in df.select("id", "term", "tf", "dl").collect())
+    assert rows(index) == rows(search.token_index(docs, "id", "t")) and sorted(tuple(r) for r in lengths.collect()) == [(1, 3), (2, 1)]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     stream = spark.readStream.schema(events.schema).parquet("/root/testdata/sf0.001/events*.parquet")
