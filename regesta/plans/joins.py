@@ -10,6 +10,7 @@ from .aggregates import W_ORDERS, entries
 from .registry import query
 
 c = F.col
+PAIRS, SIDE = 1_000_000, 1_000  # of links, in a task; of either side of a cell
 
 
 @query("coord_lookup_join", "SELECT o_orderkey, n_nationkey, n_name, r_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
@@ -90,11 +91,20 @@ def set_equality_join(table):
        SELECT x, z, via, amb FROM (SELECT x, z, via, amb, row_number() OVER (PARTITION BY x, z ORDER BY amb, via) AS k FROM a JOIN b USING (via)) WHERE k = 1""",
 )
 def transitive_link_best(table):
-    """Links over a shared id, the least ambiguous a pair."""
-    li = table("lineitem")
-    a = li.where("l_returnflag = 'A'").select(c("l_orderkey").alias("x"), c("l_partkey").alias("via"), c("l_quantity").alias("amb")).distinct()
-    b = li.where("l_returnflag = 'R'").select(c("l_suppkey").alias("z"), c("l_partkey").alias("via")).distinct()
-    return a.join(b, "via").groupBy("x", "z").agg(F.min(F.struct("amb", "via")).alias("m")).select("x", "z", "m.via", "m.amb")
+    """Links over a shared id, the least ambiguous a pair, unknown ambiguities last. Both the join and the choice go in
+    as many tasks as there are PAIRS of links, counted first; an id with more of them is cut into cells of SIDE by SIDE."""
+    li = table("lineitem").select(c("l_orderkey").alias("x"), c("l_suppkey").alias("z"), c("l_partkey").alias("via"), c("l_quantity").alias("amb"), c("l_returnflag").alias("flag")).where("via is not null and flag in ('A', 'R')")
+    found = li.groupBy("via").agg(F.count_if(c("flag") == "A").alias("na"), F.count_if(c("flag") == "R").alias("nb")).withColumn("pairs", c("na") * c("nb"))
+    work, hot = found.agg(F.sum(c("pairs") + c("na") + c("nb")), F.collect_list(F.when(c("pairs") > PAIRS, F.struct("via", F.ceil(c("na") / SIDE), F.ceil(c("nb") / SIDE))))).first()
+    n = max((work or 0) // PAIRS + 1, li.sparkSession.sparkContext.defaultParallelism)
+    cells = li.sparkSession.createDataFrame(hot, f"via {li.schema['via'].dataType.simpleString()}, rows long, cols long")
+    li = li.join(F.broadcast(cells), "via", "left").na.fill(1, ["rows", "cols"])
+    place = lambda name, by, of: F.pmod(F.xxhash64(by), of).alias(name)
+    all_of = lambda name, of: F.explode(F.sequence(F.lit(0).cast("long"), c(of) - 1)).alias(name)
+    a = li.where("flag = 'A'").select("x", "via", "amb", place("row", "x", c("rows")), all_of("col", "cols")).repartition(n, "via", "row", "col").groupBy("via", "row", "col", "x").agg(F.min("amb").alias("amb"))
+    b = li.where("flag = 'R'").select("z", "via", place("col", "z", c("cols")), all_of("row", "rows")).repartition(n, "via", "row", "col").distinct()
+    links = a.join(b, ["via", "row", "col"]).select("x", "z", F.struct(c("amb").isNull().alias("unknown"), "amb", "via").alias("m")).repartition(n, "x", "z")
+    return links.groupBy("x", "z").agg(F.min("m").alias("m")).select("x", "z", "m.via", "m.amb")
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from regesta.functions import life, money, names
 from regesta.operators import graph, runs, search
-from regesta.plans import catalogue
+from regesta.plans import catalogue, joins
 from regesta.streaming.runs import windowed_counts
 
 
@@ -123,6 +123,25 @@ def test_graph_queries_take_all_rows(spark, tmp_path):
     assert {r[:3] for r in run("transitive_link_best")} == {(1, 10, 5), (1, 12, 5)}
 
 
+def test_best_links_equal_plain_loops_in_small_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(joins, "PAIRS", 50)
+    monkeypatch.setattr(joins, "SIDE", 6)
+    rnd = random.Random(5)
+    some = lambda *values: rnd.choice([None, *values])
+    rows = [(some(*range(12)), some(*range(9)), some(0, 0, 0, *range(1, 9)), some(1.0, 2.0, 3.0), rnd.choice(["A", "R", "N", None])) for _ in range(600)]  # part 0 is hot
+    want, pairs = {}, 0
+    for x, _, via, amb, flag in rows:
+        for _, z, other, _, back in rows:
+            if flag == "A" and back == "R" and via is not None and via == other:
+                pairs += 1
+                want[x, z] = min(want.get((x, z), (True, 99, 99)), (amb is None, amb or 0, via))
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_partkey long, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalogue.QUERIES["transitive_link_best"](spark, str(tmp_path))
+    links = got.collect()
+    assert len(links) == len(want) and {(r.x, r.z): (r.amb is None, r.amb or 0, r.via) for r in links} == want
+    assert got.rdd.getNumPartitions() > pairs // 50
+
+
 def test_life_anchor_cases(spark):
     cases = [(1619, False, False, "before_birth"), (1630, False, True, "child"), (1686, False, True, "after_death"), (1700, False, False, "late_naming"), (1680, True, False, "dead_early"), (1750, True, False, "beyond"), (1684, False, True, None)]
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, y int, late boolean, strong boolean, want string")
